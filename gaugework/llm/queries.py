@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, fingerprints, langid, mixing, packing, quality, simhash
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_mix": mixing.op3_mix,
+    "op4_pack": packing.op4_pack,
     "op5_chat": chat.op5_chat,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_langid": langid.op9_langid,
 }
 ORACLE_SQL = {"op3_mix": mixing.OP3_SQL, "op5_chat": chat.OP5_SQL}
