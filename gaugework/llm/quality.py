@@ -24,11 +24,10 @@ from pyspark.sql import functions as F
 from . import _scale
 from ._words import U, Words, chunks, mix, windows
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long, n_distinct long, n_upper long, n_digits long, n_ends long"
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct long, n_upper long, n_digits long, n_ends long"
 SYMBOLS = b"#*$%&|<>"
-MARKS = b"#*$%&"  # those that no table or tag is made of
 RUN = 8
-_FLAGS = {name: np.isin(np.arange(256), list(chars)) for name, chars in (("n_symbols", SYMBOLS), ("n_marks", MARKS), ("n_upper", bytes(range(65, 91))), ("n_digits", bytes(range(48, 58))), ("n_ends", b".!?"))}
+_FLAGS = {name: np.isin(np.arange(256), list(chars)) for name, chars in (("n_symbols", SYMBOLS), ("n_upper", bytes(range(65, 91))), ("n_digits", bytes(range(48, 58))), ("n_ends", b".!?"))}
 
 
 def statistics(data: list[bytes]) -> dict[str, np.ndarray]:
@@ -85,8 +84,7 @@ def features() -> dict[str, Column]:
     """What rules may test: name -> expression over the statistics (never null)."""
     per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     return {
-        "marks_per_word": per("n_marks", "n_words"),
-        "bars_per_word": F.coalesce(F.try_divide((F.col("n_symbols") - F.col("n_marks")).cast("double"), F.col("n_words").cast("double")), F.lit(0.0)),
+        "symbols_per_word": per("n_symbols", "n_words"),
         "dup_line_share": per("n_dup_lines", "n_lines"),
         "repeat_share": per("n_repeat_words", "n_words"),
         "chars_per_word": per("word_chars", "n_words"),
