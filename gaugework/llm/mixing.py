@@ -79,8 +79,9 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     Rows with nothing taken go; wordless rows have nothing to take and go with them.
     """
     columns = docs.columns
-    rest = [c for c in columns if c not in ("doc_id", "source")]
-    got = mix_sources(docs, carry=tuple(rest), **options)
+    own = {c: f"__{i}" for i, c in enumerate(columns) if c not in ("doc_id", "source", "text")}  # so that no name clashes
+    rows = docs.select("doc_id", "source", "text", *[F.col(c).alias(k) for c, k in own.items()])
+    got = mix_sources(rows, carry=("text", *own.values()), **options)
     words = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
     got = got.withColumn("_whole", words.cast("int")).withColumn("_part", (F.col("taken") - words * F.col("size")).cast("int"))
     copies = F.concat(F.array_repeat(F.lit(-1), F.col("_whole")), F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<int>")))
@@ -88,8 +89,9 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     cut = F.when(F.col("_cutat") < 0, F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})")), 1, F.greatest(F.col("_cutat"), F.lit(0))), " "))
     got = got.withColumn("text", cut)
     if "n_chars" in columns:
-        got = got.withColumn("n_chars", F.when(F.col("_cutat") < 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return got.select(*columns)
+        n = F.length("text").cast(docs.schema["n_chars"].dataType)
+        got = got.withColumn(own["n_chars"], F.when(F.col("_cutat") < 0, F.col(own["n_chars"])).otherwise(n))
+    return got.select(*[F.col(own.get(c, c)).alias(c) for c in columns])
 
 
 def op3_mix(spark, sf_dir: str) -> DataFrame:
