@@ -6,12 +6,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 U = np.uint64
 #: Bytes of text worked on at once; a longer single text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,14 +33,13 @@ def texts_of(column: pa.Array) -> list[bytes]:
 def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``limit`` bytes of text each, and the texts."""
     for batch in batches:
-        data, start, size = texts_of(batch.column(text)), 0, 0
-        for i, x in enumerate(data):
-            if size and size + len(x) > limit:
-                yield batch.slice(start, i - start), data[start:i]
-                start, size = i, 0
-            size += len(x)
-        if start < len(data):
-            yield batch.slice(start), data[start:]
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        total, start = np.concatenate([[0], np.cumsum(sizes)]), 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(total, total[start] + limit, side="right")) - 1)
+            part = batch.slice(start, end - start)
+            yield part, texts_of(part.column(text))
+            start = end
 
 
 class Words:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _scale, tokens
-from ._words import texts_of
+from ._words import chunks
 
 CAPACITY, END = 2048, 0
 Pattern = tuple[tuple[int, ...], int]
@@ -195,11 +195,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
 
     def run(batches):
         encode, step, end = tokens.encoder(tokenizer).encode, 4 * capacity, END.to_bytes(4, "little")
-        for batch in batches:
+        for batch, data in chunks(batches, "text"):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), data, strict=True):
                 ids = encode(text.decode("utf-8", "replace")) + end
-                rows += [(doc, p, p * capacity, len(x := ids[p * step : (p + 1) * step]) // 4, zlib.crc32(x), x) for p in range(-(-len(ids) // step))]
+                rows += [(doc, p, p * capacity, len(x := ids[p * step : (p + 1) * step]) // 4, zlib.crc32(x), x if with_ids else None) for p in range(-(-len(ids) // step))]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)][: len(names)], names)

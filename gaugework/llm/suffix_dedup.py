@@ -242,6 +242,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, wide: int = WIDE) ->
     marks = texts.where(long_enough).mapInArrow(_Sample(length), _Sample.schema)
     marks = _scale.saved(marks.withColumn("key", F.xxhash64("t1", "t2", "first")), "marks")
     again = marks.groupBy("name").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("name")
+    again = _scale.saved(again, "names")  # so that the join has exchanges of its own, which may be split where a name is hot
     marks = _scale.saved(marks.join(again, "name", "left_semi"), "repeated")
     classes = marks.groupBy("name", "class").agg(F.min("key").alias("key"), F.max("key").alias("other"), F.min("first").alias("f"), F.max(F.col("last") - F.col("first")).alias("span"))
     classes = classes.select("name", "class", "key", "span", (F.col("key") != F.col("other")).alias("many"))
@@ -293,7 +294,7 @@ def _digest(batches):
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     for batch in batches:
         rows = []
-        for x, s in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for x, s in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
             spans = merge_spans(s)
             rows.append((len(x), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(x, spans)).hexdigest()))
         cols = list(zip(*rows, strict=True)) or [()] * 4
@@ -301,12 +302,13 @@ def _digest(batches):
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataFrame:
-    """All columns of ``docs`` (text never null), and spans (null: nothing repeats)."""
+    """All columns of ``docs`` (text never null), and __spans (null: nothing repeats)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("text", text).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(1), "text"))
-    texts = rows.select("t1", "t2", F.coalesce(F.col("doc_id").cast("long"), F.lit(_EMPTY)).alias("doc"), "text")
+    rows = docs.withColumn("text", text).withColumn("__t1", F.xxhash64("text")).withColumn("__t2", F.xxhash64(F.lit(1), "text"))
+    texts = rows.select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_EMPTY)).alias("doc"), "text")
     spans = _scale.saved(repeated_spans(texts, length, wide), "spans")
-    return rows.join(spans, ["t1", "t2"], "left").drop("t1", "t2")
+    spans = spans.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("spans").alias("__spans"))
+    return rows.join(spans, ["__t1", "__t2"], "left").drop("__t1", "__t2")
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataFrame:
@@ -322,13 +324,13 @@ def cleaned(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataFram
     def run(batches):
         for batch in batches:
             texts = []
-            for x, s in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for x, s in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 texts.append(kept_bytes(x, merge_spans(s)).decode("utf-8", "replace"))
             cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
-            touched = pa.array([bool(s) and not t.strip() for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)])
+            touched = pa.array([bool(s) and not t.strip() for t, s in zip(texts, batch.column("__spans").to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays(cols, columns).filter(pc.invert(touched))
 
-    out = rows.select(*columns, "spans").mapInArrow(run, docs.schema)
+    out = rows.select(*columns, "__spans").mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _files, _scale, tokens
-from ._words import texts_of
+from ._words import chunks
 
 MAGIC, STEP, END = b"DAC1", 512, 0
 #: Tokens in a file; a longer document has a file of its own.
@@ -152,8 +152,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, most_tokens: int
             n = _files.write(path, dump(names, ids))
             return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "path": path, "n_docs": len(names), "n_tokens": size, "n_bytes": n}], pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
-        for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
+        for batch, data in chunks(batches, "text"):
+            for i, text in zip(batch.column("doc_id").to_pylist(), data, strict=True):
                 got = np.frombuffer(encode(text.decode("utf-8", "replace")) + end, "<u4")
                 if names and size + len(got) > most_tokens:
                     yield flush()
