@@ -13,7 +13,7 @@ import re
 
 from tokenizers import Tokenizer
 
-MOST_PIECES = 200_000
+MOST_PIECES = 400_000
 #: White space other than space and line feed, for the pre-tokenizer or for Python.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -50,12 +50,18 @@ class Encoder:
             self.kind = "byte"  # a space starts a token or a run of white space
         elif pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("type") == "Split" and pre["pretokenizers"][0].get("invert") and [x["type"] for x in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind = "word"  # white space only separates
+        self.plain = self.kind != "any"
         self.pieces, self.words = _Pieces(self.piece), _Pieces(self.word)
 
     def word(self, word: str) -> bytes:
         return b"".join(t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(word))
 
     def piece(self, s: str) -> bytes:
+        if self.plain and s.isascii():  # letters alone, after at most one space, are one word
+            if s.isalpha():
+                return self.word(s.lower() if self.kind == "word" else s)
+            if self.kind == "byte" and s[:1] == " " and s[1:].isalpha():
+                return self.word("\u0120" + s[1:])
         if self.tok.normalizer is not None:
             s = self.tok.normalizer.normalize_str(s)
         words = [w for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(s)] if s else []
