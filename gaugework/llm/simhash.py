@@ -83,14 +83,19 @@ def near_edges(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def _prints(batches):
     for batch, data in chunks(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(simhash(data).view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), pa.array(simhash(data).view(np.int64))], ["doc_id", "body", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """-> doc_id, fp (signed long)."""
+    """-> doc_id, body (hash of the text, for finding the row again), fp (signed long)."""
     _scale.workers_can_import(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_prints, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), body(text_col).alias("body"))
+    return rows.mapInArrow(_prints, f"doc_id {kind}, body long, fp long")
+
+
+def body(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 class _Link:
@@ -140,23 +145,37 @@ def link_edges(distinct: DataFrame, radius: int = RADIUS, block: int = 2048) ->
     return dealt.mapInArrow(_Link(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """-> doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
-    prints = _scale.saved(fingerprints(docs, id_col, text_col), "prints")
+def classes_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """-> fp, component_id (least doc_id of all rows that its fingerprint reaches)."""
     distinct = _scale.saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     labels = _graph.components(link_edges(distinct.select("fp"), radius))
     classes = distinct.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = _scale.saved(classes.join(least, "label").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _scale.saved(classes.join(least, "label").select("fp", "component_id"), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """-> doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
+    prints = _scale.saved(fingerprints(docs, id_col, text_col), "prints")
+    return prints.join(classes_of(prints, radius), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component of near-duplicates only the rows with its least id; of repeated rows one."""
-    got = near_duplicates(docs)
-    keep = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each component of near-duplicates: that with its least id (of repeated rows one)."""
+    prints = _scale.saved(fingerprints(docs), "prints")
+    got = prints.join(classes_of(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Rows of one id may share a fingerprint with different texts; the one with the least hash stays.
+    keep = got.groupBy("doc_id", "fp").agg(F.min("body").alias("__body")).select(F.col("doc_id").alias("__keep"), "__body").distinct()
+    keep = _scale.saved(keep, "keep")
+    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")) & (body("text") == F.col("__body")), "left_semi")
+    again = prints.groupBy("doc_id", "body").count().where("count > 1").select(F.col("doc_id").alias("__keep"), F.col("body").alias("__body"))
+    if again.limit(1).count() == 0:
+        return rows
+    # Only rows that are repeated as a whole need a shuffle of their own.
+    twice = F.col("doc_id").eqNullSafe(F.col("__keep")) & (body("text") == F.col("__body"))
+    again = _scale.saved(again, "again")
+    one = rows.join(again, twice, "left_semi").withColumn("__body", body("text")).dropDuplicates(["doc_id", "__body"]).drop("__body")
+    return rows.join(again, twice, "left_anti").unionByName(one)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -239,8 +240,9 @@ def test_archives_against_sql(spark, tmp_path):
     pages["page_id"] = pages["page_id"].astype("Int64")
     c.register("pages", pages)
     want = c.sql(warc.OP10_SQL).df()
-    key = lambda d: sorted(tuple(None if x != x else str(x).removesuffix(".0") for x in map(lambda v: float("nan") if v is None or str(v) == "<NA>" else v, r)) for r in d[sorted(d.columns)].itertuples(index=False))  # noqa: E731, C417
-    assert sorted(map(str, key(got))) == sorted(map(str, key(want)))
+    cell = lambda x: None if pd.isna(x) else str(x).removesuffix(".0")
+    key = lambda d: sorted(str([cell(x) for x in r]) for r in d[sorted(d.columns)].itertuples(index=False))
+    assert key(got) == key(want)
     assert warc.read_archives(warc.write_archives(df.limit(0), str(tmp_path / "v"))).count() == 0
 
 
