@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import clip, mean, spearman
+from ..functions.scores import clip, mean, spearman, weighted_median
 from ..plans import kernels as K
 from ..plans import models as M
 from ..plans import neighbors as N
@@ -387,41 +387,40 @@ class MinorityUtilityGap(Metric):
         out.scalars = {"score": clip(1 - mean(r["excess_gap"] for r in got)), "worst_excess_gap": max(r["excess_gap"] for r in got), "mean_gap_synthetic": mean(r["gap_synthetic"] for r in got), "mean_gap_real": mean(r["gap_real"] for r in got)}
 
 
-def weighted_median(d: DataFrame) -> DataFrame:
-    """``d`` (d, w) -> m: the value where the running weight passes half, or the mean of the two around it."""
-    long = d.select(F.lit("r").alias("_side"), F.lit("d").alias("column"), F.col("d").alias("x"), "w").where("x is not null")
-    by_x = long.groupBy("x").agg(F.sum("w").alias("w"))
-    from pyspark.sql import Window
-
-    run = by_x.withColumns({"c": F.sum("w").over(Window.orderBy("x")), "t": F.sum("w").over(Window.partitionBy(F.lit(0)))})
-    half, tol = F.col("t") / 2, F.col("t") * 1e-9
-    lower = F.min(F.when(F.col("c") >= half - tol, F.col("x")))
-    upper = F.min(F.when(F.col("c") > half + tol, F.col("x")))
-    return run.agg(((lower + F.coalesce(upper, lower)) / 2).alias("m"))
-
-
 @registry.register
 class MinorityPrivacyRisk(Metric):
     spec = MetricSpec("minority_privacy_risk", "preservation", "extended", scope="table")
     options = ("subgroup_specs", "min_rows", "cap")
     subgroup_specs: list[SubgroupSpec] = []
     min_rows = 10
-    cap: int | None = None  # rows are compared in blocks, so nothing has to be left out
+    cap: int | None = None  # rows are compared in blocks, so nothing has to be left out; a number samples the real rows
 
     def measure(self, ctx: Context, out: MetricResult) -> None:
         specs = runnable(self.subgroup_specs, ctx.meta, out)
         if not (ctx.sizes["r"] and ctx.sizes["s"]):
             raise Skip("a table is empty")
         rows, space = ctx.space(None, capped=False)
+        member = F.lit(False)
+        for s in specs:
+            member |= s.column()
+        real = ctx.pair.where("_side = 'r'").withColumn("_id", F.col("_row")).withColumn("_member", member).withColumn("_w", F.lit(1.0))
+        if self.cap and ctx.sizes["r"] > self.cap:
+            real = self.sampled(real, ctx.random_state)
+            rows = rows.where("_side <> 'r'").unionByName(rows.where("_side = 'r'").join(real.select("_id"), "_id", "left_semi").select(*rows.columns))
+            out.notes.append(f"{self.cap} real rows")
         d = N.kth(ctx.near("r", "s", 1, (rows, space)), 1)
-        real = ctx.pair.where("_side = 'r'").withColumn("_id", F.col("_row")).join(d, "_id")
+        real = real.join(d, "_id")
         for s in specs:
             inside, rest = real.where(s.column()).select("d"), real.where(~s.column()).select("d")
             n, m = inside.count(), rest.count()
             if n < self.min_rows or not m:
                 out.notes.append(f"{s.name}: fewer than {self.min_rows} rows inside or none outside")
                 continue
-            a, b, whole = q(inside, [0.5])[0], q(rest, [0.5])[0], q(real.select("d"), [0.5])[0]
+            a = q(inside, [0.5])[0]
+            if self.cap:  # the sample is bounded, so its weighted medians are taken here
+                b, whole = (weighted_median([(r["d"], r["_w"]) for r in x.select("d", "_w").collect()]) for x in (real.where(~s.column()), real))
+            else:
+                b, whole = q(rest, [0.5])[0], q(real.select("d"), [0.5])[0]
             if b < 1e-12:
                 out.notes.append(f"{s.name}: the rest lies on synthetic rows")
             out.per_column[s.name] = {"risk_ratio": 1.0 if b < 1e-12 else a / b, "median_dcr_subgroup": a, "median_dcr_rest": b, "median_dcr_overall": whole}
@@ -430,6 +429,15 @@ class MinorityPrivacyRisk(Metric):
         ratios = [r["risk_ratio"] for r in out.per_column.values()]
         out.scalars = {"score": min(clip(x) for x in ratios), "mean_risk_ratio": mean(ratios), "worst_risk_ratio": min(ratios)}
 
+    def sampled(self, real: DataFrame, seed: int) -> DataFrame:
+        """At most ``cap`` rows, half of them kept for members of any subgroup, weighted by what they stand for."""
+        n = {bool(r["_member"]): r["count"] for r in real.groupBy("_member").count().collect()}
+        m, o = n.get(True, 0), n.get(False, 0)
+        take_m = min(m, max(self.cap // 2, self.cap - o))
+        parts = [(True, m, take_m), (False, o, min(o, self.cap - take_m))]
+        frames = [N.cap(real.where(F.col("_member") == k), t, seed).withColumn("_w", F.lit(size / t)) for k, size, t in parts if t]
+        return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+
 
 # ---- utility ---------------------------------------------------------------------------------
 

@@ -183,3 +183,13 @@ def test_subgroup_predicates(spark):
     m = g.Metadata.infer(df)
     assert g.SubgroupSpec("s", {"sex": (1, 2)}).validate(m) and g.SubgroupSpec("s", {"x": ["a"]}).validate(m)
     assert g.SubgroupSpec("s", {"age": (1, 2)}).validate(m) is None
+
+
+def test_capped_privacy_risk_is_weighted(tables, meta):
+    from gaugework.registry import Context
+
+    specs = [g.SubgroupSpec("young", {"age": (None, 30)})]
+    cls = g.registry.get("minority_privacy_risk")
+    whole, part = (cls(Context(tables["real"], tables["good"], meta), subgroup_specs=specs, cap=c).compute(None, None, meta) for c in (None, 150))
+    assert part.notes == ["150 real rows"] and 0 <= part.scalars["score"] <= 1
+    assert part.per_column["young"]["median_dcr_rest"] == pytest.approx(whole.per_column["young"]["median_dcr_rest"], rel=0.8)
