@@ -13,7 +13,7 @@ import re
 
 from tokenizers import Tokenizer
 
-MOST_PIECES = 400_000
+MOST_PIECES, MOST_WORDS = 200_000, 50_000
 #: White space other than space and line feed, for the pre-tokenizer or for Python.
 _ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -26,11 +26,11 @@ _APART = re.compile("[^\x00-\u024f]|\u0130")
 class _Pieces(dict):
     """Piece -> little-endian unsigned 32-bit ids: the younger generation, with the older one behind it."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MOST_PIECES:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         out = self.old.get(piece)
@@ -51,7 +51,7 @@ class Encoder:
         elif pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("type") == "Split" and pre["pretokenizers"][0].get("invert") and [x["type"] for x in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind = "word"  # white space only separates
         self.plain = self.kind != "any"
-        self.pieces, self.words = _Pieces(self.piece), _Pieces(self.word)
+        self.pieces, self.words = _Pieces(self.piece, MOST_PIECES), _Pieces(self.word, MOST_WORDS)
 
     def word(self, word: str) -> bytes:
         return b"".join(t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(word))
