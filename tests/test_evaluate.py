@@ -193,3 +193,13 @@ def test_capped_privacy_risk_is_weighted(tables, meta):
     whole, part = (cls(Context(tables["real"], tables["good"], meta), subgroup_specs=specs, cap=c).compute(None, None, meta) for c in (None, 150))
     assert part.notes == ["150 real rows"] and 0 <= part.scalars["score"] <= 1
     assert part.per_column["young"]["median_dcr_rest"] == pytest.approx(whole.per_column["young"]["median_dcr_rest"], rel=0.8)
+
+
+def test_hitting_rate_compares_all_rows(spark, meta):
+    """2500 copied rows, each with a label of its own: every one is a hit, however many there are."""
+    rows = spark.range(2500).selectExpr("cast(id as double) as age", "cast(id as string) as sex")
+    m = g.Metadata.infer(rows).override("age", dtype=g.ColumnType.NUMERIC).override("sex", dtype=g.ColumnType.CATEGORICAL)
+    names = g.registry.subset(["hitting_rate"])
+    whole, part = (g.evaluate_with(names, rows, rows, m, metric_options=o).result("hitting_rate") for o in ({}, {"hitting_rate": {"cap": 2000}}))
+    assert whole.scalars["hit_rate"] == 1 and not whole.notes
+    assert part.notes == ["2000 rows a side"]
