@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scores import clip, ks_p_value, mean
+from ..functions.storage import saved
 from ..plans import kernels as K
 from ..plans import models as M
 from ..plans import neighbors as N
@@ -195,29 +196,28 @@ class Jsd(Metric):
         averaged(out, rows_of(T.jsd(ctx.pair, cols), cols), "jsd", "mean_jsd", score=lambda m: 1 - m)
 
 
-def mmd_of(rows, space: N.Space, cap: int, seed: int) -> float:
-    """Biased maximum mean discrepancy of at most ``cap`` rows a side (bounded: they are compared on the driver)."""
-    side = {s: N.arrays(N._codes(N.cap(rows.where(F.col("_side") == s), cap, seed), space, []).toArrow()) for s in "rs"}
-    d = {k: N.distances(space, side[k[0]], side[k[1]], 0, len(side[k[0]]["_id"])) for k in ("rr", "ss", "rs")}
-    full = np.block([[d["rr"], d["rs"]], [d["rs"].T, d["ss"]]])
-    positive = full[np.triu_indices(len(full), 1)]
-    positive = positive[positive > 0]
-    width = float(np.median(positive)) if len(positive) else 1.0
+def mmd_of(rows, space: N.Space, cap: int | None, seed: int, block: int = 4096) -> float:
+    """Biased maximum mean discrepancy of all rows, or of at most ``cap`` rows a side, over a grid of blocks."""
+    sides = [N.cap(T.side(rows, s), cap, seed) if cap else T.side(rows, s) for s in "rs"]
+    pool = saved(N._codes(sides[0].unionByName(sides[1]), space, ["_side"]), "mmd")
+    sizes = {r["_side"]: r["count"] for r in pool.groupBy("_side").count().collect()}
+    width = N.pooled_median(pool, space, sum(sizes.values()), block)
     gamma = 1 / (2 * width * width + 1e-12)
-    k = {x: np.exp(-gamma * v * v).mean() for x, v in d.items()}
-    return math.sqrt(max(0.0, k["rr"] + k["ss"] - 2 * k["rs"]))
+    return math.sqrt(max(0.0, N.kernel_sum(pool, space, sizes, gamma, block)))
 
 
 @registry.register
 class Mmd(Metric):
     spec = MetricSpec("mmd", "congruence", "extended", scope="table")
     options = ("cap",)
-    cap = 500
+    cap: int | None = None  # rows are compared in blocks, so nothing has to be left out; a number samples each side
 
     def measure(self, ctx: Context, out: MetricResult) -> None:
         if not (ctx.sizes["r"] and ctx.sizes["s"]):
             raise Skip("a table is empty")
         value = mmd_of(*ctx.space("euclidean"), self.cap, ctx.random_state)
+        if self.cap and max(ctx.sizes["r"], ctx.sizes["s"]) > self.cap:
+            out.notes.append(f"{self.cap} rows a side")
         out.scalars = {"score": 1 - clip(value), "mmd": value}
 
 

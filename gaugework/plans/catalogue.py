@@ -428,6 +428,15 @@ def _mmd(spark, d):
     return spark.createDataFrame([(C.mmd_of(rows, space, 500, 42),)], "mmd double")
 
 
+MMD_ALL = MMD.replace(" WHERE i <= 500", "")
+
+
+@query("mmd_all", with_pair(CUSTOMER, EUCLID, MMD_ALL, final=f"SELECT {r6('sqrt(greatest(0.0, sum(CASE WHEN sa = sb THEN k ELSE -k END)))', 'mmd')} FROM ks"))
+def _mmd_all(spark, d):
+    rows, space = N.encode(CUSTOMER.frame(spark, d), CUSTOMER.meta(), "id")
+    return spark.createDataFrame([(C.mmd_of(rows, space, None, 42),)], "mmd double")
+
+
 # ---- ranking ---------------------------------------------------------------------------------
 
 CANDIDATES = " UNION ALL ".join(

@@ -134,6 +134,93 @@ def knn(query: DataFrame, target: DataFrame, space: Space, k: int, *, exclude_se
     return cells.groupBy("_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"), F.min_by("nn", F.struct(F.element_at("d", 1), F.col("nn"))).alias("nn"))
 
 
+def _grid(pool: DataFrame, n: int, compare, schema: str, block: int) -> DataFrame:
+    """``compare(left, right, same)`` for each unordered pair of blocks of ``pool`` (rows of ``_codes`` with _side); ``same``: a block and itself."""
+    workers_can_import(pool.sparkSession)
+    blocks = max(1, math.ceil(n / block))
+    mine = F.pmod(F.xxhash64("_side", "_id"), F.lit(blocks)).cast("int")
+    new = pool.select(*[F.col(c).alias(c) for c in pool.columns])
+    a = pool.withColumn("_q", mine).withColumn("_t", F.explode(F.sequence(F.col("_q"), F.lit(blocks - 1))))
+    b = new.withColumn("_t", mine).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_t"))))
+
+    def cell(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        return compare(_sided(left), _sided(right), key[0].as_py() == key[1].as_py())
+
+    return a.groupBy("_q", "_t").cogroup(b.groupBy("_q", "_t")).applyInArrow(cell, schema)
+
+
+def _sided(t: pa.Table) -> Arrays:
+    """The columns in the order of sides and ids."""
+    got = {c: t.column(c).to_numpy() for c in t.column_names}
+    order = np.lexsort((got["_id"], got["_side"].astype(str)))
+    return {c: v[order] for c, v in got.items()}
+
+
+def _bits(space: Space, a: Arrays, b: Arrays, same: bool):
+    """Positive distances between the rows of two blocks, each pair once, as integers of the same order."""
+    for lo in range(0, len(a["_id"]), CHUNK):
+        hi = min(len(a["_id"]), lo + CHUNK)
+        d = distances(space, a, b, lo, hi)
+        if same:
+            d[np.arange(lo, hi)[:, None] >= np.arange(d.shape[1])[None, :]] = 0
+        yield d[d > 0].view(np.uint64)
+
+
+def pooled_median(pool: DataFrame, space: Space, n: int, block: int) -> float:
+    """Exact median of the positive distances between all pairs of rows (1 if there are none).
+
+    The bits of the two middle values are found 16 at a time by counting, so that no distance is stored.
+    """
+
+    def counts(found: list[int], shift: int) -> dict[int, dict[int, int]]:
+        def compare(a: Arrays, b: Arrays, same: bool) -> pa.Table:
+            total = {p: np.zeros(1 << 16, np.int64) for p in found}
+            for x in _bits(space, a, b, same):
+                for p in found:
+                    part = x if shift == 48 else x[(x >> np.uint64(shift + 16)) == np.uint64(p)]
+                    total[p] += np.bincount(((part >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+            cells = [(p, i, int(c[i])) for p, c in total.items() for i in np.flatnonzero(c).tolist()]
+            p, i, c = zip(*cells, strict=True) if cells else ((), (), ())
+            return pa.table({"p": pa.array(p, pa.int64()), "i": pa.array(i, pa.int64()), "c": pa.array(c, pa.int64())})
+
+        got: dict[int, dict[int, int]] = {p: {} for p in found}
+        for r in _grid(pool, n, compare, "p long, i long, c long", block).groupBy("p", "i").agg(F.sum("c").alias("c")).collect():  # at most 65 536 a middle value
+            got[r["p"]][r["i"]] = r["c"]
+        return got
+
+    middle: list[list[int]] = []
+    for shift in (48, 32, 16, 0):
+        got = counts(sorted({p for p, _ in middle}) or [0], shift)
+        if not middle:
+            total = sum(got[0].values())
+            if not total:
+                return 1.0
+            middle = [[0, (total - 1) // 2], [0, total // 2]]
+        for m in middle:
+            of = got[m[0]]
+            for i in sorted(of):
+                if m[1] < of[i]:
+                    m[0] = m[0] << 16 | i
+                    break
+                m[1] -= of[i]
+    return float(np.array([p for p, _ in middle], np.uint64).view(np.float64).mean())
+
+
+def kernel_sum(pool: DataFrame, space: Space, sizes: dict[str, int], gamma: float, block: int) -> float:
+    """Squared maximum mean discrepancy: the kernel's sum over all pairs of rows, weighted by 1 / n of its side and the sides' signs."""
+
+    def compare(a: Arrays, b: Arrays, same: bool) -> pa.Table:
+        v, w = (np.where(x["_side"] == "r", 1 / sizes["r"], -1 / sizes["s"]) for x in (a, b))
+        total = 0.0
+        for lo in range(0, len(v), CHUNK):
+            hi = min(len(v), lo + CHUNK)
+            d = distances(space, a, b, lo, hi)
+            total += float(v[lo:hi] @ np.exp(-gamma * d * d) @ w)
+        return pa.table({"k": [total if same else 2 * total]})
+
+    return _grid(pool, sum(sizes.values()), compare, "k double", block).agg(F.sum("k").alias("k")).first()["k"] or 0.0
+
+
 def kth(near: DataFrame, k: int) -> DataFrame:
     """-> _id, d: distance to the k-th neighbour (null if there are fewer)."""
     return near.select("_id", F.try_element_at("d", F.lit(k)).alias("d"))

@@ -121,3 +121,20 @@ def test_roles(spark):
         m.override("g", dtype="numeric").validate_against(df)
     with pytest.raises(MetadataError):
         Metadata.infer(df.withColumn("a", F.array(F.lit(1))))
+
+
+def test_mmd_of_all_rows_against_brute_force(spark):
+    from gaugework.operators.columns import mmd_of
+
+    rng = np.random.default_rng(4)
+    rows = [("r" if i % 2 else "s", float(rng.normal(0.4 * (i % 2))), "abc"[i % 3]) for i in range(1301)]
+    enc, space = N.encode(pair(spark, rows, "x double, g string"), meta(x=NUM, g=CAT), "id")
+    e = enc.toPandas()
+    d = np.sqrt((e.f0.values[:, None] - e.f0.values) ** 2 + 2.0 * (e.g0.values[:, None] != e.g0.values))
+    upper = d[np.triu_indices(len(d), 1)]
+    gamma = 1 / (2 * np.median(upper[upper > 0]) ** 2 + 1e-12)
+    w = np.where(e._side == "r", 1 / (e._side == "r").sum(), -1 / (e._side == "s").sum())
+    want = math.sqrt(w @ np.exp(-gamma * d * d) @ w)
+    assert mmd_of(enc, space, None, 42) == pytest.approx(want, abs=1e-9)
+    assert mmd_of(enc, space, None, 42, block=300) == pytest.approx(want, abs=1e-9)
+    assert mmd_of(enc, space, 500, 42) != pytest.approx(want, abs=1e-9)
