@@ -203,3 +203,16 @@ def test_hitting_rate_compares_all_rows(spark, meta):
     whole, part = (g.evaluate_with(names, rows, rows, m, metric_options=o).result("hitting_rate") for o in ({}, {"hitting_rate": {"cap": 2000}}))
     assert whole.scalars["hit_rate"] == 1 and not whole.notes
     assert part.notes == ["2000 rows a side"]
+
+
+def test_the_scorecard_permutes_as_often_as_the_operator(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from gaugework import runner
+    from gaugework.plans import catalogue
+
+    seen = {}
+    monkeypatch.setattr(runner, "evaluate", lambda *a, **k: seen.update(k) or SimpleNamespace(frame=lambda spark: None))
+    catalogue.flagship(spark, "/root/testdata/sf0.001")
+    assert seen["holdout"] is not None and "n_permutations" not in (seen.get("metric_options") or {}).get("pmse", {})
+    assert g.registry.get("pmse").n_permutations == 20
