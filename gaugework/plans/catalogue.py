@@ -238,10 +238,18 @@ def _novelty(spark, d):
 QI = "l_returnflag, l_linestatus, l_linenumber"
 
 
+def _kanonymity(df: DataFrame) -> DataFrame:
+    return K.group_sizes(df, QI.split(", ")).agg(F.min("n").alias("min_k"), F.count(F.lit(1)).alias("unique_groups")).withColumn("score", F.least(F.lit(1.0), F.col("min_k") / 5.0))
+
+
 @query("k_anonymity", f"SELECT min(n) AS min_k, count(*) AS unique_groups, {r6('least(1.0, min(n) / 5.0)', 'score')} FROM (SELECT count(*) AS n FROM lineitem WHERE l_orderkey % 5 IN (2, 3) GROUP BY {QI})")
 def _kanon(spark, d):
-    df = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 5 in (2, 3)")
-    return K.group_sizes(df, QI.split(", ")).agg(F.min("n").alias("min_k"), F.count(F.lit(1)).alias("unique_groups")).withColumn("score", F.least(F.lit(1.0), F.col("min_k") / 5.0))
+    return _kanonymity(spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 5 in (2, 3)"))
+
+
+@query("k_anonymity_all", f"SELECT min(n) AS min_k, count(*) AS unique_groups, {r6('least(1.0, min(n) / 5.0)', 'score')} FROM (SELECT count(*) AS n FROM lineitem GROUP BY {QI})")
+def _kanon_all(spark, d):
+    return _kanonymity(spark.read.parquet(f"{d}/lineitem.parquet"))
 
 
 PARITY = """g AS (SELECT l_returnflag AS g, avg(CAST(l_linestatus = 'O' AS DOUBLE)) FILTER (side = 'r') AS r, avg(CAST(l_linestatus = 'O' AS DOUBLE)) FILTER (side = 's') AS s FROM pair GROUP BY 1),
