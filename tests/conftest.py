@@ -6,10 +6,9 @@ import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
-DATA = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -27,6 +26,7 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from small_tables import DATA
 
     c = duckdb.connect()
     for p in sorted(Path(DATA).glob("*.parquet")):

@@ -2,7 +2,7 @@
 
 import pandas as pd
 import pytest
-from conftest import DATA
+from small_tables import DATA
 
 from gaugework.plans import catalogue
 
