@@ -154,14 +154,14 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = rows.select("doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("head")), both).otherwise(places)).alias("p"))
     rows = rows.select("doc_id", "text", F.col("p.c").alias("cell"), F.col("p.carried").alias("carried"))
     rows = rows.repartition(n, "cell").sortWithinPartitions("cell", "carried", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
-    return rows.select("doc_id", "text", "carried").mapInArrow(_pairs, f"doc_id {kind}, {OUT}")
+    return _scale.map_arrow(rows.select("doc_id", "text", "carried"), _pairs, f"doc_id {kind}, {OUT}")
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> id and fingerprint of every whole text."""
     _scale.workers_can_import(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_alone, f"doc_id {kind}, fingerprint string")
+    return _scale.map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), _alone, f"doc_id {kind}, fingerprint string")
 
 
 def _alone(batches):

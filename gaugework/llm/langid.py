@@ -168,7 +168,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             lang, score, bits = decide(frozen.value, data)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    return _scale.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
 
 
 def fit(docs: DataFrame, order: int = 3, **bounds) -> Model | None:
@@ -188,7 +188,7 @@ def accepted(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
             ok = np.array([g != "und" for g in lang], bool) & (score >= least_score)
             yield batch.filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _scale.map_arrow(docs, run, docs.schema)
 
 
 def op9_langid(spark, sf_dir: str) -> DataFrame:

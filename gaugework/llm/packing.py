@@ -184,7 +184,7 @@ def pack(pieces: DataFrame, *, keys: list[str], capacity: int = CAPACITY, seed:
             cols = [batch.column(n) for n in out.names[:-2]] + [pa.array(first[at] + k // many[at]), pa.array(offset[at] + k % many[at] * length)]
             yield pa.RecordBatch.from_arrays(cols, out.names)
 
-    return ranked.mapInArrow(place, out)
+    return _scale.map_arrow(ranked, place, out)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -194,18 +194,18 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches):
-        encode, step, end = tokens.encoder(tokenizer).encode, 4 * capacity, END.to_bytes(4, "little")
+        encode, step, end = tokens.encoder(tokenizer).encode_all, 4 * capacity, END.to_bytes(4, "little")
         for batch, data in chunks(batches, "text"):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), data, strict=True):
-                ids = encode(text.decode("utf-8", "replace")) + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(data), strict=True):
+                ids += end
                 rows += [(doc, p, p * capacity, len(x := ids[p * step : (p + 1) * step]) // 4, zlib.crc32(x), x if with_ids else None) for p in range(-(-len(ids) // step))]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)][: len(names)], names)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return _scale.map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -77,7 +77,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """-> doc_id and the statistics of every whole text."""
     _scale.workers_can_import(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_measure, f"doc_id {kind}, {STATS}")
+    return _scale.map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), _measure, f"doc_id {kind}, {STATS}")
 
 
 def features() -> dict[str, Column]:

@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     _scale.workers_can_import(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), body(text_col).alias("body"))
-    return rows.mapInArrow(_prints, f"doc_id {kind}, body long, fp long")
+    return _scale.map_arrow(rows, _prints, f"doc_id {kind}, body long, fp long")
 
 
 def body(text_col: str):
@@ -142,7 +142,7 @@ def link_edges(distinct: DataFrame, radius: int = RADIUS, block: int = 2048) ->
     pairs = F.explode(F.transform(F.sequence(F.lit(0), g - 1), lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y"))))
     large = rows.where(F.col("count") > block).select(pairs.alias("p"), "t", "key", "fp").select("p.x", "p.y", "t", "key", "fp")
     dealt = small.union(large).repartition(_scale.partitions(spark), "t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y")
-    return dealt.mapInArrow(_Link(radius), "a long, b long")
+    return _scale.map_arrow(dealt, _Link(radius), "a long, b long")
 
 
 def classes_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -239,7 +239,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, wide: int = WIDE) ->
     _scale.workers_can_import(spark)
     n = _scale.partitions(spark)
     long_enough = F.octet_length("text") >= length
-    marks = texts.where(long_enough).mapInArrow(_Sample(length), _Sample.schema)
+    marks = _scale.map_arrow(texts.where(long_enough), _Sample(length), _Sample.schema)
     marks = _scale.saved(marks.withColumn("key", F.xxhash64("t1", "t2", "first")), "marks")
     again = marks.groupBy("name").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("name")
     again = _scale.saved(again, "names")  # so that the join has exchanges of its own, which may be split where a name is hot
@@ -256,8 +256,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, wide: int = WIDE) ->
     shown = _scale.saved(shown, "contexts")
     cols = ["name", "class", "bytes"]
     narrow = shown.where(F.col("size") <= wide).select(*cols).repartition(n, "name").sortWithinPartitions("name", "class")
-    found = narrow.mapInArrow(_Suffixes(length), _Suffixes.schema)
-    rows = shown.where(F.col("size") > wide).select(*cols).dropDuplicates(["name", "class"]).mapInArrow(_Windows(length), _Windows.schema)
+    found = _scale.map_arrow(narrow, _Suffixes(length), _Suffixes.schema)
+    rows = _scale.map_arrow(shown.where(F.col("size") > wide).select(*cols).dropDuplicates(["name", "class"]), _Windows(length), _Windows.schema)
     twice = rows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     spot = F.struct(F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
     far = rows.join(twice, ["w1", "w2"], "left_semi").groupBy("name", "class").agg(F.collect_list(spot).alias("runs"))
@@ -313,7 +313,7 @@ def with_spans(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataF
 
 def removal_digest(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_spans(docs.select("doc_id", "text"), length, wide).mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _scale.map_arrow(with_spans(docs.select("doc_id", "text"), length, wide), _digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataFrame:
@@ -330,7 +330,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataFram
             touched = pa.array([bool(s) and not t.strip() for t, s in zip(texts, batch.column("__spans").to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays(cols, columns).filter(pc.invert(touched))
 
-    out = rows.select(*columns, "__spans").mapInArrow(run, docs.schema)
+    out = _scale.map_arrow(rows.select(*columns, "__spans"), run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 

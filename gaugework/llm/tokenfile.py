@@ -144,7 +144,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, most_tokens: int
     _scale.workers_can_import(spark)
 
     def run(batches):
-        encode, end = tokens.encoder(tokenizer).encode, END.to_bytes(4, "little")
+        encode, end = tokens.encoder(tokenizer).encode_all, END.to_bytes(4, "little")
         shard, part, names, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush():
@@ -153,8 +153,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, most_tokens: int
             return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "path": path, "n_docs": len(names), "n_tokens": size, "n_bytes": n}], pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
         for batch, data in chunks(batches, "text"):
-            for i, text in zip(batch.column("doc_id").to_pylist(), data, strict=True):
-                got = np.frombuffer(encode(text.decode("utf-8", "replace")) + end, "<u4")
+            for i, raw in zip(batch.column("doc_id").to_pylist(), encode(data), strict=True):
+                got = np.frombuffer(raw + end, "<u4")
                 if names and size + len(got) > most_tokens:
                     yield flush()
                     part, names, ids, size = part + 1, [], [], 0
@@ -166,7 +166,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, most_tokens: int
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(_scale.partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return _scale.saved(rows.mapInArrow(run, MANIFEST), "manifest")
+    return _scale.saved(_scale.map_arrow(rows, run, MANIFEST), "manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     def pack(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "n_tokens", "ids"])
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return _scale.map_arrow(files, run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op7_tokens(spark, sf_dir: str) -> DataFrame:

@@ -230,7 +230,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "n_records"])
             first = next(source, None)
 
-    return _scale.saved(rows.mapInArrow(run, "path string, n_records long"), "manifest")
+    return _scale.saved(_scale.map_arrow(rows, run, "path string, n_records long"), "manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     files = manifest.select("path").repartition(_scale.partitions(spark))
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _scale.map_arrow(files, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

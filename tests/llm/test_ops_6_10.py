@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from gaugework.llm import _graph, fingerprints, langid, queries, simhash, tokenfile, tokens, warc
 from test_ops_1_5 import ODD, frame
@@ -81,9 +82,9 @@ def test_codes_are_directly_addressable(tmp_path):
 
 def test_token_files_round_trip(spark, tmp_path):
     path = tokens.public_path("byte_bpe_50k.json")
-    e = tokens.encoder(path)
+    library = Tokenizer.from_file(path)
     got = tokenfile.read_tokens(tokenfile.write_tokens(frame(spark, ODD), str(tmp_path / "t"), path, most_tokens=100)).orderBy("start").collect()
-    want = sorted((-1 if i is None else i, e.encode(t or "") + b"\0\0\0\0") for i, t, _ in ODD)
+    want = sorted((-1 if i is None else i, np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t, _ in ODD)
     assert [(-1 if r["doc_id"] is None else r["doc_id"]) for r in got] == [i for i, _ in want]
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], bytes(r["ids"])) for r in got) == want
     starts = np.cumsum([0, *[r["n_tokens"] for r in got]])
@@ -94,11 +95,24 @@ def test_token_files_round_trip(spark, tmp_path):
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_library(name):
     rng = random.Random(1)
-    bits = ["a", "The", " ", " ", "  ", "\n", "\n\n", "\t", ".", ",", "...", "'s", "don't", "é", "ΑΣ", "İ", "1", "²", "_", "%%", "<|endoftext|>", "\xa0", "\0", "\x1c", "é", "中", "👍🏽", " .", "\r\n", "a.b", "שׁ"]
-    e = tokens.encoder(tokens.public_path(name))
-    for _ in range(4000):
-        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
-        assert e.encode(t) == np.array(e.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    bits = ["a", "The", " ", " ", "  ", "\n", "\n\n", "\t", ".", ",", "...", "'s", "don't", "é", "ΑΣ", "İ", "1", "²", "_", "%%", "<|endoftext|>", "<|STARTOFTEXT|>", "'ll", "'", "'re", "x" * 70, "é" * 40, "aaaa", "Ÿ", "-", "!!", "\xa0", "\0", "\x1c", "é", "中", "👍🏽", " .", "\r\n", "a.b", "שׁ"]
+    e, library = tokens.Encoder(tokens.public_path(name)), Tokenizer.from_file(tokens.public_path(name))
+    plain = lambda t: np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(8000)]
+    texts += ["".join(rng.choice(["a", "b", "The", "é", "1", "'s", "'ve", "'", " ", " ", "\n", ".", "!"]) for _ in range(rng.randint(0, 12))) for _ in range(8000)]
+    for lo in range(0, len(texts), 100):
+        for t, got in zip(texts[lo : lo + 100], e.encode_all([t.encode() for t in texts[lo : lo + 100]]), strict=True):
+            assert got == plain(t), repr(t)
+    # A long text is cut in segments; tables that are full begin anew.
+    words = ["".join(rng.choice("abcdefgé,.'") for _ in range(rng.randint(1, 9))) for _ in range(500_000)]
+    long = " ".join(words)
+    assert len(tokens.segments(long.encode())) > 1 and e.encode(long) == plain(long)
+    e.met = tokens.Words(1000)
+    tokens_before, tokens.MOST_WORDS = tokens.MOST_WORDS, 1000
+    try:
+        assert e.encode(long[:30_000]) == plain(long[:30_000]) and e.encode(long[:9_000]) == plain(long[:9_000])
+    finally:
+        tokens.MOST_WORDS = tokens_before
 
 
 # ---- 8 ---------------------------------------------------------------------------------------
