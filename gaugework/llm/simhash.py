@@ -160,22 +160,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes_of(prints, radius), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def rows_kept(docs: DataFrame, keep: DataFrame, prints: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) that ``keep`` (doc_id, body) names, one of each; ``prints`` has doc_id and body of every row."""
+    rows, name = _scale.positional(docs)
+    row_id, text = name["doc_id"], name["text"]
+    keep = _scale.saved(keep.select(F.col("doc_id").alias("_keep"), F.col("body").alias("_body")).distinct(), "keep")
+    like = F.col(row_id).eqNullSafe(F.col("_keep")) & (body(text) == F.col("_body"))
+    rows = rows.join(keep, like, "left_semi")
+    again = prints.groupBy("doc_id", "body").count().where("count > 1").select(F.col("doc_id").alias("_keep"), F.col("body").alias("_body"))
+    again = _scale.saved(again, "again")
+    if again.limit(1).count() == 0:
+        return rows.toDF(*docs.columns)
+    # Only rows that are repeated as a whole need a shuffle of their own.
+    one = rows.join(again, like, "left_semi").withColumn("_body", body(text)).dropDuplicates([row_id, "_body"]).drop("_body")
+    return rows.join(again, like, "left_anti").unionByName(one).toDF(*docs.columns)
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    rows, name = _scale.positional(docs)
+    return rows.select(F.col(name["doc_id"]).alias("doc_id"), F.col(name["text"]).alias("text"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component of near-duplicates: that with its least id (of repeated rows one)."""
-    prints = _scale.saved(fingerprints(docs), "prints")
+    """One row of each component of near-duplicates: that with its least id (of repeated rows one). All columns stay, whatever their names."""
+    prints = _scale.saved(fingerprints(id_and_text(docs)), "prints")
     got = prints.join(classes_of(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Rows of one id may share a fingerprint with different texts; the one with the least hash stays.
-    keep = got.groupBy("doc_id", "fp").agg(F.min("body").alias("__body")).select(F.col("doc_id").alias("__keep"), "__body").distinct()
-    keep = _scale.saved(keep, "keep")
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")) & (body("text") == F.col("__body")), "left_semi")
-    again = prints.groupBy("doc_id", "body").count().where("count > 1").select(F.col("doc_id").alias("__keep"), F.col("body").alias("__body"))
-    if again.limit(1).count() == 0:
-        return rows
-    # Only rows that are repeated as a whole need a shuffle of their own.
-    twice = F.col("doc_id").eqNullSafe(F.col("__keep")) & (body("text") == F.col("__body"))
-    again = _scale.saved(again, "again")
-    one = rows.join(again, twice, "left_semi").withColumn("__body", body("text")).dropDuplicates(["doc_id", "__body"]).drop("__body")
-    return rows.join(again, twice, "left_anti").unionByName(one)
+    return rows_kept(docs, got.groupBy("doc_id", "fp").agg(F.min("body").alias("body")), prints)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -18,9 +18,10 @@ A byte goes if a string of ``length`` bytes that covers it also starts somewhere
 Copies of a whole text are worked on once. Nothing is gathered on the driver.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing; a text that occurs in
-two rows (same id or not) is repeated throughout if it is long enough; a cut may fall inside a
-character, and the cleaned text then has U+FFFD there; an empty table gives an empty result; other
-columns are carried by ``cleaned`` and ignored otherwise.
+two rows (same id or not) is repeated throughout if it is long enough; text of a short period is
+repeated throughout and marked once a run, not once a byte; where a cut falls inside a character,
+``cleaned`` keeps that character whole; an empty table gives an empty result; other columns, whatever
+their names, are carried by ``cleaned`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -161,7 +162,7 @@ def sampled(data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 
 
 class _Sample:
-    schema = "name long, class long, t1 long, t2 long, doc long, first int, last int"
+    schema = "name long, class long, t1 long, t2 long, doc long, first int, last int, reps int"
 
     def __init__(self, length: int):
         self.length = length
@@ -181,7 +182,13 @@ class _Sample:
                 continue
             d = np.array(keep)[d]
             kind = [xxhash.xxh64_intdigest(data[i][a : b + self.length], 7) for i, a, b in zip(d.tolist(), first.tolist(), last.tolist(), strict=True)]
-            cols = [name, np.array(kind, U).view(np.int64), t1[d], t2[d], doc[d], first.astype(np.int32), last.astype(np.int32)]
+            kind = np.array(kind, U).view(np.int64)
+            # Text of a short period gives one context over and over, end to end: one row tells how often.
+            other = np.concatenate([[True], (d[1:] != d[:-1]) | (kind[1:] != kind[:-1]) | (name[1:] != name[:-1]) | (first[1:] != last[:-1] + 1)])
+            at = np.flatnonzero(other)
+            reps = np.diff(np.append(at, len(d)))
+            d = d[at]
+            cols = [name[at], kind[at], t1[d], t2[d], doc[d], first[at].astype(np.int32), last[at].astype(np.int32), reps.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [x.split()[0] for x in self.schema.split(", ")])
 
 
@@ -241,11 +248,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, wide: int = WIDE) ->
     long_enough = F.octet_length("text") >= length
     marks = _scale.map_arrow(texts.where(long_enough), _Sample(length), _Sample.schema)
     marks = _scale.saved(marks.withColumn("key", F.xxhash64("t1", "t2", "first")), "marks")
-    again = marks.groupBy("name").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("name")
+    again = marks.groupBy("name").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("reps").alias("reps")).where("a <> b or reps > 1").select("name")
     again = _scale.saved(again, "names")  # so that the join has exchanges of its own, which may be split where a name is hot
     marks = _scale.saved(marks.join(again, "name", "left_semi"), "repeated")
-    classes = marks.groupBy("name", "class").agg(F.min("key").alias("key"), F.max("key").alias("other"), F.min("first").alias("f"), F.max(F.col("last") - F.col("first")).alias("span"))
-    classes = classes.select("name", "class", "key", "span", (F.col("key") != F.col("other")).alias("many"))
+    classes = marks.groupBy("name", "class").agg(F.min("key").alias("key"), F.max("key").alias("other"), F.max("reps").alias("reps"), F.max(F.col("last") - F.col("first")).alias("span"))
+    classes = classes.select("name", "class", "key", "span", ((F.col("key") != F.col("other")) | (F.col("reps") > 1)).alias("many"))
     names = classes.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("span").cast("long") + length).alias("size"))
     classes = _scale.saved(classes.join(names, "name"), "classes")
     # One occurrence of each class that shares its name with another class, with its bytes.
@@ -265,8 +272,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, wide: int = WIDE) ->
     whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("span") + 1).alias("hi")))
     found = classes.where("many").select("name", "class", whole.alias("runs")).unionByName(found.join(classes.where("many").select("name", "class"), ["name", "class"], "left_anti"))
     spans = marks.join(_scale.saved(found.where(F.size("runs") > 0), "runs"), ["name", "class"])
-    spans = spans.select("t1", "t2", "first", F.explode("runs").alias("r"))
-    spans = spans.select("t1", "t2", (F.col("first") + F.col("r.lo")).alias("lo"), (F.col("first") + F.col("r.hi") + (length - 1)).alias("hi"))
+    spans = spans.select("t1", "t2", "first", ((F.col("reps") - 1) * (F.col("last") - F.col("first") + 1)).alias("more"), F.explode("runs").alias("r"))
+    spans = spans.select("t1", "t2", (F.col("first") + F.col("r.lo")).alias("lo"), (F.col("first") + F.col("more") + F.col("r.hi") + (length - 1)).alias("hi"))
     copies = texts.where(long_enough).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("k"), F.max(F.octet_length("text")).alias("hi")).where("k > 1")
     spans = spans.unionByName(copies.select("t1", "t2", F.lit(0).alias("lo"), "hi"))
     return spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
@@ -291,47 +298,65 @@ def kept_bytes(x: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _digest(batches):
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    names, kinds = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeats"], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
     for batch in batches:
         rows = []
-        for x, s in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+        for x, s in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
             spans = merge_spans(s)
-            rows.append((len(x), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(x, spans)).hexdigest()))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], ["doc_id", *names])
+            rows.append((len(x), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(x, spans)).hexdigest(), bool(spans)))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", *names])
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataFrame:
-    """All columns of ``docs`` (text never null), and __spans (null: nothing repeats)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("text", text).withColumn("__t1", F.xxhash64("text")).withColumn("__t2", F.xxhash64(F.lit(1), "text"))
-    texts = rows.select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_EMPTY)).alias("doc"), "text")
+def at_borders(x: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans without parts of characters that do not lie wholly in them."""
+    out = []
+    for a, b in spans:
+        while a < b and x[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(x) and x[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append((a, b))
+    return out
+
+
+def with_spans(docs: DataFrame, row_id: str, text: str, length: int = LENGTH, wide: int = WIDE) -> DataFrame:
+    """All columns of ``docs`` (text never null; names that ``positional`` gives), and _spans (null: nothing repeats)."""
+    rows = docs.withColumn(text, F.coalesce(F.col(text), F.lit(""))).withColumn("_t1", F.xxhash64(text)).withColumn("_t2", F.xxhash64(F.lit(1), text))
+    texts = rows.select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.coalesce(F.col(row_id).cast("long"), F.lit(_EMPTY)).alias("doc"), F.col(text).alias("text"))
     spans = _scale.saved(repeated_spans(texts, length, wide), "spans")
-    spans = spans.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("spans").alias("__spans"))
-    return rows.join(spans, ["__t1", "__t2"], "left").drop("__t1", "__t2")
+    spans = spans.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("spans").alias("_spans"))
+    return rows.join(spans, ["_t1", "_t2"], "left").drop("_t1", "_t2")
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataFrame:
+    """-> doc_id, n_bytes, n_removed, n_spans, kept_sha256, and has_repeats: whether any byte goes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _scale.map_arrow(with_spans(docs.select("doc_id", "text"), length, wide), _digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows, name = _scale.positional(docs.select("doc_id", "text"))
+    rows = with_spans(rows, name["doc_id"], name["text"], length, wide).toDF("doc_id", "text", "_spans")
+    return _scale.map_arrow(rows, _digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, wide: int = WIDE) -> DataFrame:
     """``docs`` with repeated strings taken out of their texts; rows that lose all their words go."""
     columns = docs.columns
-    rows = with_spans(docs, length, wide)
+    rows, name = _scale.positional(docs)
+    own, text = rows.schema, name["text"]
+    rows = with_spans(rows, name["doc_id"], text, length, wide)
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for x, s in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-                texts.append(kept_bytes(x, merge_spans(s)).decode("utf-8", "replace"))
-            cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
-            touched = pa.array([bool(s) and not t.strip() for t, s in zip(texts, batch.column("__spans").to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays(cols, columns).filter(pc.invert(touched))
-
-    out = _scale.map_arrow(rows.select(*columns, "__spans"), run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+            texts, spans = [], batch.column("_spans").to_pylist()
+            for x, s in zip(batch.column(text).cast(pa.binary()).to_pylist(), spans, strict=True):
+                texts.append(kept_bytes(x, at_borders(x, merge_spans(s))).decode("utf-8", "replace"))
+            cols = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in own.names]
+            touched = pa.array([bool(s) and not t.strip() for t, s in zip(texts, spans, strict=True)])
+            yield pa.RecordBatch.from_arrays(cols, own.names).filter(pc.invert(touched))
+
+    out = _scale.map_arrow(rows.select(*own.names, "_spans"), run, own)
+    if "n_chars" in columns:
+        out = out.withColumn(name["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*columns)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
