@@ -5,15 +5,18 @@ is a context of up to ``order`` bytes; a byte seen there costs its count's share
 plus its number of distinct bytes (escape method C); else an escape is coded and the next shorter
 context tried, down to all bytes alike. A text's exact code length under each language is the sum
 over its bytes of the cost at the deepest node that matches the bytes before; the shortest wins.
-The tree is held as two tables: context bytes -> deepest node, and node x byte -> cost in bits.
+The tree is held as tables: node x byte -> node of the context one byte longer, and node x byte ->
+cost in bits. All trees together take at most ``max_model`` bytes: where contexts are too many, those
+seen least often are left out, and the next shorter one stands for them.
 
-Training takes whole texts of at most ``max_docs`` labelled rows of a language and stops within it
-once ``max_bytes`` are reached; the rows are those with the least hash of their id. Lang, source and
-id play no part in a prediction.
+Training takes whole distinct rows of at most ``max_langs`` languages (the largest), at most ``max_docs``
+a language and at most ``max_bytes`` of text; the rows are those with the least hash of id and text,
+and texts beyond ``max_bytes`` are not learned from. Lang, source and id play no part in a prediction.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no training rows
 every text is; equal code lengths go to the first language in code point order; a null id is in
-fold crc32("") mod 4; repeated rows are predicted alike; other columns are ignored.
+fold crc32("") mod 4; rows with the same id are sampled by their texts, and rows alike in both count
+once; repeated rows are predicted alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,18 +25,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _scale
 from ._words import chunks
 
 
+#: Bytes of all trees together.
+MAX_MODEL = 64 << 20
+
+
 @dataclass
 class Tree:
-    """A frozen context tree: ``node[c3, c2, c1]`` is the deepest node, ``cost[node, byte class]`` in bits."""
+    """A frozen context tree: ``steps[m][node, c]`` is the deepest node when the byte before the last m has class c, ``cost[node, c]`` is in bits."""
 
-    node: np.ndarray
+    steps: list[np.ndarray]
     cost: np.ndarray
 
 
@@ -46,42 +53,46 @@ class Model:
     trees: list[Tree]
 
 
-def grow(texts: list[np.ndarray], order: int, k: int) -> Tree:
+def grow(texts: list[np.ndarray], order: int, k: int, most_nodes: int) -> Tree:
     """``texts``: byte classes, each padded in front with ``order`` zeros."""
     base = np.concatenate(texts).astype(np.int64)
-    # counts[m]: for contexts of m bytes, context code -> (byte classes, counts)
     skip = np.concatenate([np.r_[np.ones(order, bool), np.zeros(len(t) - order, bool)] for t in texts])
     at = np.flatnonzero(~skip)
-    fallback = np.full(k, np.log2(256.0))  # order -1
     ctx = np.zeros(len(at), np.int64)
-    cost_of = {0: None}
-    costs, lookup = [], np.zeros(1, np.int64)
-    n_nodes = 0
+    levels = []  # of contexts of m bytes: their codes, the nearest byte in the lowest digit; (context, class) codes and counts; total of each context
     for m in range(order + 1):
         if m:
             ctx = ctx + base[at - m] * k ** (m - 1)
         codes, counts = np.unique(ctx * k + base[at], return_counts=True)
         nodes, first = np.unique(codes // k, return_index=True)
         row = np.repeat(np.arange(len(nodes)), np.diff(np.r_[first, len(codes)]))
-        total = np.bincount(row, weights=counts, minlength=len(nodes))
-        kinds = np.bincount(row, minlength=len(nodes))
-        escape = np.log2((total + kinds) / kinds)
+        levels.append((nodes, codes, counts, row, np.bincount(row, weights=counts, minlength=len(nodes))))
+    # A context is seen at least as often as a longer one, so a limit on the counts leaves whole trees.
+    totals = -np.sort(-np.concatenate([x[4] for x in levels]))
+    least = 0 if len(totals) <= most_nodes else totals[most_nodes]
+    steps, costs, n_nodes, previous = [], [], 0, None
+    for m, (nodes, codes, counts, row, total) in enumerate(levels):
+        keep = total > least if m else np.ones(1, bool)
+        kinds = np.bincount(row, minlength=len(nodes))[keep]
+        some, new = keep[row], np.cumsum(keep) - 1
+        nodes, codes, counts, row, total = nodes[keep], codes[some], counts[some], new[row[some]], total[keep]
+        escape = np.log2((total + kinds) / np.maximum(kinds, 1))
         if m == 0:
-            parent = np.broadcast_to(fallback, (1, k))
+            cost = np.full((1, k), np.log2(256.0)) + escape[:, None]
         else:
-            parent = cost_of[m - 1][np.searchsorted(previous, nodes % k ** (m - 1))]
-        cost = parent + escape[:, None]
+            parent = np.searchsorted(previous[0], nodes % k ** (m - 1))
+            step = np.repeat(np.arange(n_nodes, dtype=np.int32)[:, None], k, axis=1)
+            step[previous[1] + parent, nodes // k ** (m - 1)] = n_nodes + np.arange(len(nodes))
+            steps.append(step)
+            cost = previous[2][parent] + escape[:, None]
         cost[row, codes % k] = np.log2((total + kinds)[row] / counts)
-        cost_of[m] = cost
         costs.append(cost.astype(np.float32))
-        table = np.tile(lookup, k if m else 1)  # index: code of the m bytes before, the nearest in the lowest digit
-        table[nodes] = n_nodes + np.arange(len(nodes))
-        lookup, previous = table, nodes
+        previous = nodes, n_nodes, cost
         n_nodes += len(nodes)
-    return Tree(lookup.astype(np.int32), np.concatenate(costs))
+    return Tree(steps, np.concatenate(costs))
 
 
-def train(samples: dict[str, list[bytes]], order: int = 3) -> Model:
+def train(samples: dict[str, list[bytes]], order: int = 3, max_model: int = MAX_MODEL) -> Model:
     langs = sorted(samples)
     seen = np.unique(np.frombuffer(b"".join(x for t in samples.values() for x in t), np.uint8))
     classes = np.zeros(256, np.uint8)
@@ -91,13 +102,14 @@ def train(samples: dict[str, list[bytes]], order: int = 3) -> Model:
         classes[:] = np.arange(256)
     k = int(classes.max()) + 1
     pad = np.zeros(order, np.uint8)
-    trees = [grow([np.r_[pad, classes[np.frombuffer(x, np.uint8)]] for x in samples[g] if x], order, k) for g in langs]
+    most_nodes = max(1, max_model // (4 * k * (order + 1) * max(1, len(langs))))
+    trees = [grow([np.r_[pad, classes[np.frombuffer(x, np.uint8)]] for x in samples[g] if x], order, k, most_nodes) for g in langs]
     return Model(langs, order, classes, k, trees)
 
 
 def code_lengths(model: Model, data: list[bytes]) -> np.ndarray:
     """Bits of each text (row) under each language (column)."""
-    pad = bytes(model.order)
+    pad, k = bytes(model.order), model.n_classes
     sizes = np.array([len(x) for x in data])
     c = model.classes[np.frombuffer(b"".join(pad + x for x in data), np.uint8)].astype(np.int32)
     start = np.cumsum(sizes + model.order) - sizes  # first byte of each text proper
@@ -106,14 +118,14 @@ def code_lengths(model: Model, data: list[bytes]) -> np.ndarray:
         front[start - 1 - j] = True
         c[start - 1 - j] = 0
     at = np.flatnonzero(~front)
-    ctx = np.zeros(len(at), np.int32)
-    for m in range(model.order):
-        ctx += c[at - m - 1] * np.int32(model.n_classes**m)
-    byte = c[at]
+    before = [c[at - m] for m in range(model.order + 1)]
     edge = np.r_[0, np.cumsum(sizes)]
     out = np.empty((len(data), len(model.langs)))
     for g, tree in enumerate(model.trees):
-        total = np.r_[0.0, np.cumsum(tree.cost.ravel()[tree.node[ctx].astype(np.int64) * model.n_classes + byte], dtype=np.float64)]
+        node = np.zeros(len(at), np.int32)
+        for m, step in enumerate(tree.steps, 1):
+            node = step.ravel()[node * np.int32(k) + before[m]]
+        total = np.r_[0.0, np.cumsum(tree.cost.ravel()[node * np.int32(k) + before[0]], dtype=np.float64)]
         out[:, g] = total[edge[1:]] - total[edge[:-1]]
     return out
 
@@ -137,30 +149,33 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def sample(docs: DataFrame, max_docs: int = 300, max_bytes: int = 2_000_000) -> dict[str, list[bytes]]:
-    """Bounded training texts of each language: counts first, then a hash threshold that lets about 1.3 times ``max_docs`` pass."""
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    h = F.xxhash64(F.lit(9), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+def sample(docs: DataFrame, max_docs: int = 300, max_bytes: int = 2_000_000, max_langs: int = 200) -> dict[str, list[bytes]]:
+    """Bounded training texts of each language: counts first, then a hash threshold that lets about 1.3 times ``max_docs`` pass.
+
+    At most ``max_bytes`` and one text more of each language reach the driver.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.octet_length("text").between(1, max_bytes))
+    rows = rows.select("lang", "text", F.xxhash64(F.lit(9), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("h"))
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, min(1.0, (1.3 * max_docs + 30) / n))])
-    some = rows.where((h.cast("double") + 2.0**63) / 2.0**64 < F.element_at(share, F.col("lang"))).select("lang", "text", h.alias("h"))
+    some = rows.where((F.col("h").cast("double") + 2.0**63) / 2.0**64 < F.element_at(share, F.col("lang")))
+    some = some.groupBy("lang", "h").agg(F.first("text").alias("text"))  # rows alike count once, summed up before they are shuffled
+    within = Window.partitionBy("lang").orderBy("h")
+    some = some.withColumn("nth", F.row_number().over(within))
+    some = some.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     got: dict[str, list[bytes]] = {}
-    taken: dict[str, int] = {}
-    for r in sorted(some.collect(), key=lambda r: (r.lang, r.h, r.text)):
-        x = r.text.encode("utf-8", "surrogatepass")
-        if len(got.setdefault(r.lang, [])) < max_docs and taken.get(r.lang, 0) < max_bytes:
-            got[r.lang].append(x)
-            taken[r.lang] = taken.get(r.lang, 0) + len(x)
-    return {g: t for g, t in got.items() if any(t)}
+    for r in some.where((F.col("nth") <= max_docs) & (F.col("before") < max_bytes)).orderBy("lang", "h").select("lang", "text").collect():
+        got.setdefault(r.lang, []).append(r.text.encode("utf-8", "surrogatepass"))
+    return got
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """-> doc_id, lang_pred, score, bits_per_byte."""
     spark = docs.sparkSession
     _scale.workers_can_import(spark)
-    frozen = spark.sparkContext.broadcast(model)  # bounded by max_bytes of training text a language
+    frozen = spark.sparkContext.broadcast(model)  # at most max_model bytes
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -180,7 +195,7 @@ def accepted(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The rows whose language is recognised: not ``und`` and with a score of at least ``least_score``."""
     spark = docs.sparkSession
     _scale.workers_can_import(spark)
-    frozen = spark.sparkContext.broadcast(fit(docs))
+    frozen = spark.sparkContext.broadcast(fit(docs))  # at most max_model bytes
 
     def run(batches):
         for batch, data in chunks(batches, "text"):
