@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _files, _scale, tokens
@@ -173,12 +173,12 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     """Read the files back -> doc_id, start (tokens of all documents before), n_tokens, ids (little-endian, 32 bits)."""
     spark = manifest.sparkSession
     _scale.workers_can_import(spark)
-    rows = sorted(manifest.collect(), key=lambda r: (r.shard, r.part))  # a row a file
-    base, placed = 0, []
-    for r in rows:
-        placed.append((r.path, base))
-        base += r.n_tokens
-    files = spark.createDataFrame(placed, "path string, base long").repartition(max(1, min(len(placed), _scale.partitions(spark))))
+    # A prefix sum in two steps: over the files of a shard, and over the shards, which are as many as tasks wrote.
+    before = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = manifest.groupBy("shard").agg(F.sum("n_tokens").alias("t"))
+    shards = shards.select("shard", before(Window.orderBy("shard"), "t").alias("ahead"))
+    files = manifest.withColumn("inside", before(Window.partitionBy("shard").orderBy("part"), "n_tokens")).join(shards, "shard")
+    files = files.select("path", (F.col("ahead") + F.col("inside")).alias("base")).repartition(_scale.partitions(spark))
 
     def run(batches):
         for batch in batches:
