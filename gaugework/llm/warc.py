@@ -32,8 +32,8 @@ from . import _files, _scale
 
 LEAST = 1000
 DATE = "2024-01-01T00:00:00Z"
-#: Compressed bytes after which a task begins another package.
-MOST_BYTES = 64 << 20
+#: Bytes of payload, and records, after which a task begins another package (an index entry is held for every record).
+MOST_BYTES, MOST_RECORDS = 256 << 20, 200_000
 
 
 # ---- ZIP -----------------------------------------------------------------------------------
@@ -126,17 +126,22 @@ def _line(x: str) -> str:
     return "".join(f"%{b:02X}" if b < 0x20 or b in (0x25, 0x7F) else chr(b) for b in x.encode()).encode("latin-1").decode("utf-8")
 
 
+def record_id(page_id: int | None, digest: str) -> uuid.UUID:
+    """What a revisit can tell of the record it refers to, too: its page and its digest."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}/{digest}")
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A WARC/1.1 response, or a revisit if it refers to a page; the HTTP head tells the payload's length either way."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     kind = "response" if refers_to is None else "revisit"
     block = http + (payload if refers_to is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{url}/{digest}')}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id(page_id, digest)}>", f"WARC-Date: {DATE}"]
     head += [f"WARC-Target-URI: {_line(url)}"] if url is not None else []
     head += [f"X-Page-ID: {page_id}"] if page_id is not None else []
     head += [f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{record_id(refers_to, digest)}>", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -202,10 +207,13 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    twins = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first"))
+    # Only payloads that can have twins are shuffled: the small ones (empty pages above all) have no hot digest then.
+    small, rows = rows.where(F.octet_length("payload") < least), rows.where(F.octet_length("payload") >= least)
+    twins = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first"))
     twins = twins.where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
     rows = rows.join(twins, "digest", "left")
     rows = rows.select("page_id", "url", "payload", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    rows = rows.unionByName(small.withColumn("refers_to", F.lit(None).cast("long")))
 
     def run(batches):
         def each():
@@ -223,7 +231,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
                 while row is not None:
                     n, taken = n + 1, taken + len(row[2])
                     yield row
-                    row = next(source, None) if taken < 4 * MOST_BYTES else None
+                    row = next(source, None) if taken < MOST_BYTES and n < MOST_RECORDS else None
 
             path, n = f"{folder}/{uuid.uuid4().hex}.wacz", 0
             write_package(path, some())
