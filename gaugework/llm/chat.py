@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: In this order when escaping, in reverse when unescaping.
 ESCAPES = (("~", "~0"), ("<", "~1"), ("[", "~2"), ("]", "~3"))
+#: Characters of a rendered turn besides its name, twice, and its text; those before the text.
+LENGTH, HEAD = len("<s>[][/]</s>"), len("<s>[]")
 RESETS = ("message", "edit", "regenerate", "delete")
 
 
@@ -61,21 +63,15 @@ def fold(log: DataFrame) -> DataFrame:
 def render(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     """One row a conversation: conv_id, formatted, loss_spans (start, length of code points; role ``trained``)."""
     name = F.when(F.col("role") == "user", F.lit("INST")).otherwise(F.concat(F.lit("R:"), escaped(F.col("role"))))
-    t = F.struct(F.col("turn"), name.alias("name"), escaped(F.col("text")).alias("text"), (F.col("role") == trained).alias("loss"))
-    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(t)).alias("t"))
-    head = lambda x: F.concat(F.lit("<s>["), x["name"], F.lit("]"))
-    tail = lambda x: F.concat(F.lit("[/"), x["name"], F.lit("]</s>"))
-    parts = F.transform("t", lambda x: F.struct(F.length(head(x)).alias("h"), F.length(x["text"]).alias("n"), F.length(tail(x)).alias("z"), x["loss"].alias("loss")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    spans = F.aggregate(
-        parts, empty,
-        lambda s, x: F.struct(
-            (s["at"] + x["h"] + x["n"] + x["z"]).alias("at"),
-            F.when(x["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + x["h"]).alias("start"), x["n"].alias("length"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    return chats.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(head(x), x["text"], tail(x))), "").alias("formatted"), spans.alias("loss_spans"))
+    turns = turns.select("conv_id", "turn", name.alias("name"), escaped(F.col("text")).alias("text"), (F.col("role") == trained).alias("loss"))
+    turns = turns.withColumn("n", F.length("text")).withColumn("all", F.length("name") * 2 + F.col("n") + LENGTH)
+    # The running length, in the shuffle that the grouping needs anyway.
+    before = Window.partitionBy("conv_id").orderBy("turn", "name", "text", "loss").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("start", F.coalesce(F.sum("all").over(before), F.lit(0)) + F.length("name") + HEAD)
+    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "name", "text", "loss", "start", "n"))).alias("t"))
+    whole = lambda x: F.concat(F.lit("<s>["), x["name"], F.lit("]"), x["text"], F.lit("[/"), x["name"], F.lit("]</s>"))
+    spans = F.transform(F.filter("t", lambda x: x["loss"]), lambda x: F.struct(x["start"].cast("int").alias("start"), x["n"].cast("int").alias("length")))
+    return chats.select("conv_id", F.array_join(F.transform("t", whole), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def format_chats(log: DataFrame, trained: str = "assistant") -> DataFrame:
@@ -85,13 +81,13 @@ def format_chats(log: DataFrame, trained: str = "assistant") -> DataFrame:
 def read_back(chats: DataFrame) -> DataFrame:
     """Formatted strings -> conv_id, turns (role, text), loss_text; only the strings and spans are used."""
     pieces = F.filter(F.split(F.col("formatted"), "<s>", -1), lambda x: x != "")
-    cell = lambda x, i: F.element_at(F.split(x, r"[\[\]]", -1), i)  # noqa: E731  "", name, text, "/" name, "</s>"
+    cells = F.transform(pieces, lambda x: F.split(x, r"[\[\]]", -1))  # "", name, text, "/" name, "</s>"
     one = lambda x: F.struct(
-        F.when(cell(x, 2) == "INST", F.lit("user")).otherwise(unescaped(F.substring(cell(x, 2), 3, 2**31 - 1))).alias("role"),
-        unescaped(cell(x, 3)).alias("text"),
+        F.when(F.element_at(x, 2) == "INST", F.lit("user")).otherwise(unescaped(F.substring(F.element_at(x, 2), 3, 2**31 - 1))).alias("role"),
+        unescaped(F.element_at(x, 3)).alias("text"),
     )
     loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
-    return chats.select("conv_id", F.transform(pieces, one).alias("turns"), loss.alias("loss_text"), "formatted")
+    return chats.select("conv_id", F.transform(cells, one).alias("turns"), loss.alias("loss_text"), "formatted")
 
 
 def conversations_log(rows: DataFrame) -> DataFrame:
