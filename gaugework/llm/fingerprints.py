@@ -4,8 +4,8 @@ The sketch of a text is every distinct hash of its five-word shingles that lies
 of the hash range; the least hash stays if none does, so that only wordless texts have an empty
 sketch. Sketches merge by union (least hashes at or above the limit go once one lies below) and
 compare by containment: of two sketches, the share of the smaller that the larger holds. That
-stays meaningful between very unequal texts. The string form is the sorted hashes, 12 hex digits
-each (the top 48 bits).
+stays meaningful between very unequal texts. The string form is the sorted hashes, 8 characters of
+base 64 each (the top 48 bits).
 
 Defined cases: null text is empty; texts of 1 to 4 words have their whole sequence as the one
 shingle; two empty sketches have likeness 1, an empty and a full one 0; null ids come last in
@@ -15,6 +15,7 @@ row is its own next; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import _scale
 from ._words import CHUNK, U, Words, chunks
 
-K, SCALED, BITS = 5, 4, 48
+K, SCALED, BITS = 5, 8, 48
 
 
 def sketches(data: list[bytes], k: int = K, scaled: int = SCALED) -> list[np.ndarray]:
@@ -52,11 +53,11 @@ def sketches(data: list[bytes], k: int = K, scaled: int = SCALED) -> list[np.nda
 
 
 def to_string(sketch: np.ndarray) -> str:
-    return sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes().hex()
+    return base64.b64encode(sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()
 
 
 def from_string(s: str) -> np.ndarray:
-    raw = np.frombuffer(bytes.fromhex(s), np.uint8).reshape(-1, 6)
+    raw = np.frombuffer(base64.b64decode(s), np.uint8).reshape(-1, 6)
     return np.concatenate([np.zeros((len(raw), 2), np.uint8), raw], axis=1).copy().view(">u8").ravel().astype(U)
 
 
