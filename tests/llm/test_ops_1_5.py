@@ -5,10 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gaugework.llm import chat, mixing, packing, quality, suffix_dedup, tokens
+from gaugework.llm import _scale, chat, mixing, packing, quality, suffix_dedup, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, length int, spans string, taken string"
@@ -114,11 +115,28 @@ def test_removal_against_brute_force(spark, wide):
     assert found == want
 
 
+def test_text_of_a_short_period_is_marked_once_a_run(spark):
+    texts = ["x" * 50_000, "ab" * 20_000 + " end", "start " + "abc" * 5_000, "é" * 3_000]
+    marks = list(suffix_dedup._Sample(400)([pa.RecordBatch.from_pydict({"t1": [1, 2, 3, 4], "t2": [1, 2, 3, 4], "doc": [1, 2, 3, 4], "text": texts})]))
+    assert sum(m.num_rows for m in marks) < 100
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    got = sorted(tuple(r)[1:5] for r in suffix_dedup.removal_digest(frame(spark, rows)).collect())
+    assert got == sorted(removal(texts, 400))
+
+
+def test_cleaned_keeps_whole_characters(spark):
+    same = "x" * 100 + "é" * 200 + "y" * 100
+    got = suffix_dedup.cleaned(frame(spark, [(1, "aé" + same[:350], "a"), (2, "bà" + same[:350], "a")])).collect()
+    assert all("\ufffd" not in r["text"] for r in got)
+
+
 def test_cleaned_keeps_columns_and_clean_rows(spark):
     same = "the very same passage " * 40
     rows = [(1, "head one " + same, "a"), (2, "head two " + same, "a"), (3, same, "b"), (4, "clean", None), (5, None, None)]
     got = {r["doc_id"]: r for r in suffix_dedup.cleaned(frame(spark, rows)).collect()}
     assert set(got) == {1, 2, 4, 5} and got[4]["text"] == "clean" and got[1]["spans"] == "x"
+    clash = frame(spark, rows).selectExpr("*", "1 as _spans", "2 as _t1", "3 as in0", "4 as _keep", "5 as _body", "6 as `a.b`", "7 as TEXT")
+    assert {r["doc_id"]: tuple(r)[9:] for r in suffix_dedup.cleaned(clash).collect()} == dict.fromkeys((1, 2, 4, 5), (1, 2, 3, 4, 5, 6, 7))
     assert got[1]["text"].startswith("head on") and len(got[1]["text"]) < 60 and got[1]["n_chars"] == len(got[1]["text"])
     assert suffix_dedup.cleaned(frame(spark, [])).count() == 0
 
@@ -149,6 +167,39 @@ def test_mixed_rows_repeat_and_cut(spark):
     assert {r["source"]: r["n"] for r in words} == {s: round(t) for s, t in targets.items()}
 
 
+def test_mixed_rows_hold_the_words_that_are_taken(spark):
+    """Against plain code: whole copies and the cut row's first words, with rows alike on both sides of the cut."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{j}" for j in range(rng.randint(0, 30))), "abc"[i % 3]) for i in range(60)]
+    rows += [(100, "same words here again", "a")] * 40 + [(None, "n one", "b"), (None, "n two x", "b"), (None, "n one", "b"), (101, None, None), (102, "k " * 20, None)]
+    taken = Counter()
+    for r in mixing.mix_sources(frame(spark, rows)).collect():
+        taken[(r["doc_id"], r["source"], r["size"])] += r["taken"]
+    got, texts = Counter(), Counter((i, s, t) for i, t, s in rows)
+    for r in mixing.mixed_rows(frame(spark, rows)).collect():
+        got[(r["doc_id"], r["source"])] += len(WORD.findall(r["text"]))
+        whole = {t for i, s, t in texts if (i, s) == (r["doc_id"], r["source"])}
+        assert r["text"] in whole or any(" ".join(WORD.findall(t or "")).startswith(r["text"]) for t in whole)
+        assert r["n_chars"] == len(r["text"]) and r["spans"] == "x"
+    by_source = lambda c: {s: sum(n for k, n in c.items() if k[1] == s) for s in {k[1] for k in c}}
+    assert by_source(got) == by_source(taken)
+    unlike = [k for k in taken if sum(1 for i, t, s in rows if (i, s) == k[:2]) == 1]
+    assert all(got[k[:2]] == taken[k] for k in unlike)
+    hot = [r["text"] for r in mixing.mixed_rows(frame(spark, rows)).where("doc_id = 100").collect()]
+    assert sum(len(t.split()) for t in hot) == taken[(100, "a", 4)]
+
+
+def test_prefix_sums_over_blocks_of_cuts(spark):
+    df = spark.range(3000).selectExpr("cast(id % 3 as string) as g", "md5(cast(id as string)) as k", "id % 7 as v")
+    want, run = {}, Counter()
+    for r in sorted(df.collect(), key=lambda r: r.k):
+        want[r.k] = run[r.g]
+        run[r.g] += r.v
+    for bits in (0, 3, 13, 32):
+        got = _scale.prefix_sums(df, "g", "k", [], F.col("v"), bits, "before")
+        assert {r.k: r.before for r in got.collect()} == want, bits
+
+
 def test_mixing_sql(spark, duck):
     want = duck.sql(mixing.OP3_SQL).df()
     got = mixing.op3_mix(spark, "/root/testdata/sf0.001").toPandas()

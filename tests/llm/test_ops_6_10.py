@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gaugework.llm import _graph, fingerprints, langid, queries, simhash, tokenfile, tokens, warc
@@ -209,6 +210,19 @@ def test_code_lengths_against_a_plain_model():
     assert got == pytest.approx(cost(b"ca", ord("b")), rel=0.02)
 
 
+def test_models_are_bounded(spark):
+    rng = random.Random(0)
+    noise = rng.randbytes(200_000)
+    model = langid.train({"x": [noise], "y": [b"plain text " * 50]}, max_model=1 << 22)
+    assert sum(s.nbytes for t in model.trees for s in [*t.steps, t.cost]) <= 1 << 22
+    bits = langid.code_lengths(model, [b"plain text"])[0]
+    assert bits[1] < bits[0] and np.isfinite(langid.code_lengths(model, [noise])).all()
+    # Rows that share an id are sampled by their texts, rows alike count once.
+    rows = [(1, f"text {i % 2000} is here", "a") for i in range(4000)]
+    got = langid.sample(frame(spark, rows).withColumn("lang", F.lit("x")), max_docs=100)
+    assert 50 <= len(got["x"]) == len(set(got["x"])) <= 100
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = langid.predict(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
