@@ -95,7 +95,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             Path(args.html).write_text(leaderboard_html(result, args.mode, args.by), encoding="utf-8")
         if args.json:
             Path(args.json).write_text(result.to_json(), encoding="utf-8")
-        for i, (n, v) in enumerate(ranked, 1):
+        for i, n, v in ranked:
             print(f"{i}\t{n}\t{v:.4f}")
         for n in result.notes:
             print(f"note: {n}")

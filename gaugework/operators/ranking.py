@@ -29,15 +29,27 @@ def normalised(scores: DataFrame, mode: str = "absolute") -> DataFrame:
 
 
 def compared(scores: DataFrame) -> DataFrame:
-    """Only metrics that every candidate has a score for."""
+    """Only metrics that every candidate with any score has a score for."""
     n = scores.select(F.countDistinct("candidate").alias("_n"))
     full = scores.groupBy("metric").agg(F.countDistinct("candidate").alias("_k")).join(F.broadcast(n), F.col("_k") == F.col("_n")).select("metric")
     return scores.join(full, "metric", "left_semi")
 
 
-def leaderboard(scores: DataFrame, mode: str = "absolute") -> DataFrame:
-    """-> place, candidate, overall: mean over dimensions of the mean over compared metrics; ties by name."""
-    by_c = normalised(compared(scores), mode).groupBy("candidate", "c").agg(F.avg("score").alias("score"))
-    total = by_c.groupBy("candidate").agg(F.avg("score").alias("overall"))
-    every = scores.select("candidate").distinct().join(total, "candidate", "left").select("candidate", F.coalesce("overall", F.lit(0.0)).alias("overall"))
-    return every.select(F.row_number().over(Window.orderBy(F.desc("overall"), "candidate")).alias("place"), "candidate", "overall")
+def dimension_scores(scores: DataFrame, mode: str = "absolute") -> DataFrame:
+    """-> candidate, c, score: mean over the compared metrics of a dimension."""
+    return normalised(compared(scores), mode).groupBy("candidate", "c").agg(F.avg("score").alias("score"))
+
+
+def leaderboard(scores: DataFrame, mode: str = "absolute", by: str = "overall", candidates: DataFrame | None = None) -> DataFrame:
+    """-> place, candidate, overall (null: nothing to rank by): best first, ties by name, candidates without a value last.
+
+    ``by`` is overall (the mean over dimensions of the mean over compared metrics), a dimension, or a
+    metric, which not every candidate needs to have. ``candidates`` (candidate) may name some that have no score at all.
+    """
+    parts = dimension_scores(scores, mode)
+    if by != "overall":
+        parts = parts.where(F.col("c") == by).unionByName(normalised(scores.where(F.col("metric") == by), mode).select("candidate", "c", "score"))
+    total = parts.groupBy("candidate").agg(F.avg("score").alias("overall"))
+    every = (scores if candidates is None else candidates).select("candidate").distinct().join(total, "candidate", "left")
+    order = Window.orderBy(F.desc_nulls_last("overall"), "candidate")  # a row a candidate
+    return every.select(F.row_number().over(order).alias("place"), "candidate", "overall")

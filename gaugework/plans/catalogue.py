@@ -480,6 +480,30 @@ def _board(spark, d):
     return ranking.leaderboard(scores(spark, d))
 
 
+#: A candidate that scored nothing, beside the others.
+UNSCORED = "SELECT candidate FROM sc UNION SELECT 'a_unscored'"
+
+
+def with_unscored(sc: DataFrame) -> DataFrame:
+    return sc.select("candidate").union(sc.sparkSession.createDataFrame([("a_unscored",)], "candidate string")).distinct()
+
+
+def board_sql(value: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY overall DESC NULLS LAST, candidate) AS place, candidate, {r6('overall', 'overall')} FROM ({UNSCORED}) LEFT JOIN ({value}) USING (candidate)"
+
+
+@query("ranking_by_metric", f"{SCORES} {board_sql("SELECT candidate, score AS overall FROM sc WHERE metric = 'b'")}")
+def _by_metric(spark, d):
+    sc = scores(spark, d)
+    return ranking.leaderboard(sc, "absolute", "b", with_unscored(sc))
+
+
+@query("ranking_unscored_normal", f"{SCORES}, z AS (SELECT candidate, c, metric, {NORMS['normal']} AS score FROM sc WHERE metric IN (SELECT metric FROM sc GROUP BY metric HAVING count(DISTINCT candidate) = (SELECT count(DISTINCT candidate) FROM sc)) WINDOW w AS (PARTITION BY metric)) {board_sql('SELECT candidate, avg(s) AS overall FROM (SELECT candidate, c, avg(score) AS s FROM z GROUP BY candidate, c) GROUP BY candidate')}")
+def _unscored(spark, d):
+    sc = scores(spark, d)
+    return ranking.leaderboard(sc, "normal", candidates=with_unscored(sc))
+
+
 @query("dp_ledger", "SELECT 1.5 :: DOUBLE AS epsilon, 0.00001 :: DOUBLE AS delta")
 def _ledger(spark, d):
     got = R.DpLedger(ledger={"epsilon": 1.5, "delta": 1e-5}).compute(None, None, None).scalars

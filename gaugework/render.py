@@ -77,10 +77,10 @@ def leaderboard_html(result: BenchmarkResult, mode: str = "absolute", by: str =
     cs = result.c_scores(mode)
     dims = list(dict.fromkeys(c for v in cs.values() for c in v))
     rows = "".join(
-        f"<tr><td>{i}</td><td>{escape(n)}</td><td>{number(v)}</td><td>{bars([by], [clip(v) if v == v and abs(v) != float('inf') else 0], [0])}</td>{''.join(f'<td>{number(cs[n].get(c))}</td>' for c in dims)}</tr>" for i, (n, v) in enumerate(result.ranking(by, mode), 1)
+        f"<tr><td>{i}</td><td>{escape(n)}</td><td>{number(v)}</td><td>{bars([by], [clip(v) if v == v and abs(v) != float('inf') else 0], [0])}</td>{''.join(f'<td>{number(cs[n].get(c))}</td>' for c in dims)}</tr>" for i, n, v in result.ranking(by, mode)
     )
     matrix = result.matrix(mode)
-    table = "".join(f"<tr><td>{escape(m)}</td>{''.join(f'<td>{number(matrix[n].get(m))}</td>' for n in result.reports)}</tr>" for m in result.compared)
+    table = "".join(f"<tr><td>{escape(m)}</td>{''.join(f'<td>{number(matrix[n].get(m))}</td>' for n in result.reports)}</tr>" for m in result.metrics)
     cards = "".join(f"<details><summary>{escape(n)}</summary>{scorecard_html(r, fragment=True, title=n)}</details>" for n, r in result.reports.items())
     notes = "".join(f"<div class=note>{escape(x)}</div>" for x in result.notes)
     heads = "".join(f"<th>{escape(n)}</th>" for n in result.reports)

@@ -137,10 +137,10 @@ def test_benchmark(tables, meta, tmp_path, spark):
     known = {"tiers": ("core",), "cs": ("congruence", "coverage"), "metric_options": {"pmse": {"n_permutations": 1}}}
     b = g.benchmark(tables["real"], {"good": tables["good"], "bad": tables["bad"]}, meta, **known)
     for mode in ("absolute", "linear", "normal", "quantile"):
-        assert [n for n, _ in b.ranking(mode=mode)] == ["good", "bad"]
-    assert b.ranking("congruence")[0][0] == "good"
+        assert [n for _, n, _ in b.ranking(mode=mode)] == ["good", "bad"]
+    assert b.ranking("congruence")[0][:2] == (1, "good") == b.ranking("ks_statistic", "normal")[0][:2]
     again = BenchmarkResult.from_json(b.to_json())
-    assert [n for n, _ in again.ranking()] == ["good", "bad"]
+    assert [n for _, n, _ in again.ranking()] == ["good", "bad"]
     assert "Leaderboard" in leaderboard_html(b)
     from gaugework.operators.ranking import leaderboard
 
