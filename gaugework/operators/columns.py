@@ -176,7 +176,7 @@ class C2st(Metric):
         if min(ctx.sizes["r"], ctx.sizes["s"]) < 5:
             raise Skip("fewer than 5 rows on a side")
         data, _ = M.vectors(ctx.pair.where("_side <> 'h'"), ctx.meta)
-        folds = M.folds(data, 5, ctx.random_state)
+        folds = M.folds(data, 5, ctx.random_state, "y")
         areas = []
         for i in range(5):
             model = M.logistic(folds.where(f"fold <> {i}"), "y", ctx.sizes["r"] + ctx.sizes["s"] - (ctx.sizes["r"] + ctx.sizes["s"]) // 5)

@@ -26,6 +26,22 @@ class FairnessSpec:
     favourable_outcome: Any = None
 
 
+def is_number(x: Any) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool)
+
+
+def as_label(x: Any) -> str:
+    return str(x).lower() if isinstance(x, bool) else str(x)
+
+
+def one_of(column: str, values: list) -> Column:
+    """The column is one of some values: numbers by value (1 is 1.0), others as labels."""
+    out = plain_label(column).isin([as_label(x) for x in values])
+    if numbers := [float(x) for x in values if is_number(x)]:
+        out |= F.coalesce(number(column).isin(numbers), F.lit(False))
+    return out
+
+
 @dataclass(frozen=True)
 class SubgroupSpec:
     """AND-ed conditions: a list means one of these labels, a pair (lo, hi) an inclusive range with open ends."""
@@ -51,7 +67,7 @@ class SubgroupSpec:
                 out &= F.lit(True) if lo is None else x >= F.lit(float(lo))
                 out &= F.lit(True) if hi is None else x <= F.lit(float(hi))
             else:
-                out &= plain_label(c).isin([str(x).lower() if isinstance(x, bool) else str(x) for x in v])
+                out &= one_of(c, v)
         return F.coalesce(out, F.lit(False))
 
 
@@ -248,12 +264,10 @@ class StatisticalParity(Metric):
             if bad := [c for c in (s.protected_attribute, s.outcome) if c not in ctx.meta.columns]:
                 out.notes.append(f"unknown column {bad[0]!r}")
                 continue
-            good = s.favourable_outcome
+            good, by_value = s.favourable_outcome, ctx.meta.columns[s.outcome].dtype is ColumnType.NUMERIC
             if good is None:  # the largest outcome
-                y = number(s.outcome) if ctx.meta.columns[s.outcome].dtype is ColumnType.NUMERIC else plain_label(s.outcome)
-                top = ctx.pair.where("_side <> 'h'").agg(F.max(F.struct(y.alias("y"), plain_label(s.outcome).alias("v"))).alias("m")).first()["m"]
-                good = top["v"] if top else None
-            r = T.parity(ctx.pair, s.protected_attribute, s.outcome, str(good).lower() if isinstance(good, bool) else str(good)).first()
+                good = ctx.pair.where("_side <> 'h'").agg(F.max(number(s.outcome) if by_value else plain_label(s.outcome))).first()[0]
+            r = T.parity(ctx.pair, s.protected_attribute, s.outcome, float(good) if by_value and is_number(good) else as_label(good)).first()
             out.per_column[f"{s.protected_attribute}|{s.outcome}"] = r.asDict()
             first = first or r.asDict()
         if first is None:
@@ -351,40 +365,55 @@ class MinorityUtilityGap(Metric):
     subgroup_specs: list[SubgroupSpec] = []
     min_rows = 10
 
-    def gap(self, train: DataFrame, test: DataFrame, task: M.UtilityTask, meta: Metadata, labels: list[str], inside: Column) -> float | None:
-        """Balanced accuracy outside the subgroup less that inside it."""
-        y = F.array_position(F.array(*[F.lit(x) for x in labels]), plain_label(task.target)).cast("double") - 1
-        train, test = (d.withColumn("_y", y).where("_y >= 0") for d in (train, test))
+    def accuracies(self, train: DataFrame, test: DataFrame, task: M.UtilityTask, meta: Metadata, classes: list[str], inside: list[Column]) -> list[dict[str, float]] | None:
+        """Balanced accuracy over all of ``test`` and in each subgroup, with its rows and classes; None if there is nothing to learn."""
+        train, test = (d.withColumn("_y", M.class_index(task.target, classes)).where("_y >= 0") for d in (train, test))
         s = train.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_y").alias("k")).first()
         if s["k"] < 2:
             return None
         ready = M.prepare(train, M.feature_columns(task, meta), meta)
-        got = M.estimator("linear", "classification", s["n"], len(labels), 1.0, 0).fit(ready.apply(train)).transform(ready.apply(test.withColumn("_in", inside)))
-        recall = got.groupBy("_in", "_y").agg(F.avg((F.col("_y") == F.col("prediction")).cast("double")).alias("r"), F.count(F.lit(1)).alias("n"))
-        acc = {r["_in"]: (r["a"], r["n"]) for r in recall.groupBy("_in").agg(F.avg("r").alias("a"), F.sum("n").alias("n")).collect()}
-        if any(acc.get(k, (0, 0))[1] < self.min_rows for k in (True, False)):
-            return None
-        return acc[False][0] - acc[True][0]
+        parts = [F.lit(True), *inside]
+        rows = test.withColumns({f"_in{i}": x for i, x in enumerate(parts)})
+        got = M.estimator("linear", "classification", s["n"], len(classes), 1.0, 0).fit(ready.apply(train)).transform(ready.apply(rows))
+        hit = F.col("_y") == F.col("prediction")
+        counts = [f(i) for i in range(len(parts)) for f in (lambda i: F.count_if(f"_in{i}").alias(f"n{i}"), lambda i: F.count_if(F.col(f"_in{i}") & hit).alias(f"k{i}"))]
+        table = got.groupBy("_y").agg(*counts).collect()  # a row a class
+        out = []
+        for i in range(len(parts)):
+            there = [r for r in table if r[f"n{i}"]]
+            out.append({"n": sum(r[f"n{i}"] for r in there), "classes": len(there), "accuracy": mean(r[f"k{i}"] / r[f"n{i}"] for r in there) if there else 0.0})
+        return out
 
     def measure(self, ctx: Context, out: MetricResult) -> None:
-        tasks = [t for t in self.tasks if t.target in ctx.meta.columns and M.task_type(t, ctx.meta) == "classification"]
+        """The gap of a model is its balanced accuracy over all test rows less that inside the subgroup."""
+        tasks = []
+        for t in self.tasks:
+            if t.target in ctx.meta.columns and M.task_type(t, ctx.meta) == "classification":
+                tasks.append(t)
+            else:
+                out.notes.append(f"{t.target}: only classification is measured")
         if not tasks:
             raise Skip("no classification task")
         specs = runnable(self.subgroup_specs, ctx.meta, out)
-        real = ctx.pair.where("_side = 'r'")
+        real, inside = ctx.pair.where("_side = 'r'"), [s.column() for s in specs]
         for t in tasks:
-            train, test = (real, ctx.pair.where("_side = 'h'")) if ctx.sizes["h"] else M.split(real, t.target, 0.5, ctx.random_state)
-            labels = [r[0] for r in real.select(plain_label(t.target).alias("v")).where("v is not null").distinct().orderBy("v").collect()]
-            for s in specs:
-                gaps = [self.gap(d, test, t, ctx.meta, labels, s.column()) for d in (ctx.pair.where("_side = 's'"), train)]
-                if None in gaps:
-                    out.notes.append(f"{t.target}|{s.name}: too few rows or classes")
+            train, test = (real, ctx.pair.where("_side = 'h'")) if ctx.sizes["h"] else M.split(real, None, 0.5, ctx.random_state)
+            if (classes := M.classes_of(real, t.target, out.notes)) is None:
+                continue
+            of_syn, of_real = (self.accuracies(d, test, t, ctx.meta, classes, inside) for d in (ctx.pair.where("_side = 's'"), train))
+            if of_syn is None or of_real is None:
+                out.notes.append(f"{t.target}: its training rows have fewer than two classes")
+                continue
+            for i, s in enumerate(specs, 1):
+                if of_real[i]["n"] < self.min_rows or of_real[i]["classes"] < 2:
+                    out.notes.append(f"{s.name}|{t.target}: {of_real[i]['n']} test rows of {of_real[i]['classes']} classes")
                     continue
-                out.per_column[f"{t.target}|{s.name}"] = {"gap_synthetic": gaps[0], "gap_real": gaps[1], "excess_gap": max(0.0, gaps[0] - gaps[1])}
+                syn, own = (a[0]["accuracy"] - a[i]["accuracy"] for a in (of_syn, of_real))
+                out.per_column[f"{s.name}|{t.target}"] = {"gap_synthetic": syn, "gap_real": own, "excess_gap": max(0.0, syn - own)}
         if not out.per_column:
             raise Skip("no pair of task and subgroup could be evaluated")
         got = list(out.per_column.values())
-        out.scalars = {"score": clip(1 - mean(r["excess_gap"] for r in got)), "worst_excess_gap": max(r["excess_gap"] for r in got), "mean_gap_synthetic": mean(r["gap_synthetic"] for r in got), "mean_gap_real": mean(r["gap_real"] for r in got)}
+        out.scalars = {"score": mean(clip(1 - r["excess_gap"]) for r in got), "worst_excess_gap": max(r["excess_gap"] for r in got), "mean_gap_synthetic": mean(r["gap_synthetic"] for r in got), "mean_gap_real": mean(r["gap_real"] for r in got)}
 
 
 @registry.register
@@ -413,8 +442,8 @@ class MinorityPrivacyRisk(Metric):
         for s in specs:
             inside, rest = real.where(s.column()).select("d"), real.where(~s.column()).select("d")
             n, m = inside.count(), rest.count()
-            if n < self.min_rows or not m:
-                out.notes.append(f"{s.name}: fewer than {self.min_rows} rows inside or none outside")
+            if min(n, m) < self.min_rows:
+                out.notes.append(f"{s.name}: {n} rows inside and {m} outside, of which {self.min_rows} are needed")
                 continue
             a = q(inside, [0.5])[0]
             if self.cap:  # the sample is bounded, so its weighted medians are taken here
@@ -446,13 +475,28 @@ def utility_ratio(trtr: float | None, tstr: float | None) -> float | None:
     return None if trtr is None or tstr is None or trtr <= 0 else clip(tstr / trtr)
 
 
-def task_scores(ctx: Context, task: M.UtilityTask, models: tuple[str, ...]) -> dict[str, tuple[float | None, float | None]]:
-    """model -> (trained on real, trained on synthetic), both tested on the same real rows or the holdout."""
+def task_scores(ctx: Context, task: M.UtilityTask, models: tuple[str, ...], notes: list[str]) -> dict[str, dict[str, float]]:
+    """model -> trtr and tstr (trained on real and on synthetic rows, tested on the same real rows or the holdout), and their ratio where trtr is above 0."""
+    if task.target not in ctx.meta.columns or not M.feature_columns(task, ctx.meta):
+        notes.append(f"{task.target}: unknown or without features")
+        return {}
     real, syn = ctx.pair.where("_side = 'r'"), ctx.pair.where("_side = 's'")
-    kind = M.task_type(task, ctx.meta)
-    labels = [r[0] for r in real.select(plain_label(task.target).alias("v")).where("v is not null").distinct().orderBy("v").collect()] if kind == "classification" else []
-    train, test = (real, ctx.pair.where("_side = 'h'")) if ctx.sizes["h"] else M.split(real, task.target if labels else None, 0.7, ctx.random_state)
-    return {m: tuple(M.fit_and_score(d, test, task, ctx.meta, m, ctx.random_state, labels) for d in (train, syn)) for m in models}
+    classes: list[str] | None = []
+    if M.task_type(task, ctx.meta) == "classification" and (classes := M.classes_of(real, task.target, notes)) is None:
+        return {}
+    train, test = (real, ctx.pair.where("_side = 'h'")) if ctx.sizes["h"] else M.split(real, task.target if classes else None, 0.7, ctx.random_state)
+    out = {}
+    for m in models:
+        trtr, tstr = (M.fit_and_score(d, test, task, ctx.meta, m, ctx.random_state, classes) for d in (train, syn))
+        if trtr is None or tstr is None:
+            notes.append(f"{task.target}: too few rows for {m}")
+            continue
+        out[m] = {"trtr": trtr, "tstr": tstr}
+        if (ratio := utility_ratio(trtr, tstr)) is None:
+            notes.append(f"{task.target}: the {m} model trained on real rows scores {trtr:.4g}, so no ratio can be given")
+        else:
+            out[m]["ratio"] = ratio
+    return out
 
 
 @registry.register
@@ -462,21 +506,14 @@ class TstrSuite(Metric):
     tasks: list[M.UtilityTask] = []
 
     def measure(self, ctx: Context, out: MetricResult) -> None:
-        ratios, out.scalars = [], {}
         for t in self.tasks:
-            if t.target not in ctx.meta.columns or not M.feature_columns(t, ctx.meta):
-                out.notes.append(f"{t.target}: unknown or without features")
-                continue
-            a, b = task_scores(ctx, t, ("forest",))["forest"]
-            ratio = utility_ratio(a, b)
-            if ratio is None:
-                out.notes.append(f"{t.target}: the model trained on real rows does not beat zero")
-                continue
-            ratios.append(ratio)
-            out.scalars |= {f"trtr_{t.target}": a, f"tstr_{t.target}": b, f"utility_ratio_{t.target}": ratio}
+            out.per_column |= {t.target: r for r in task_scores(ctx, t, ("forest",), out.notes).values()}
+        ratios = [r["ratio"] for r in out.per_column.values() if "ratio" in r]
         if not ratios:
             raise Skip("no task could be evaluated")
-        out.scalars = {"score": mean(ratios)} | out.scalars
+        out.scalars = {"score": mean(ratios)}
+        for name, r in out.per_column.items():
+            out.scalars |= {f"{'utility_ratio' if k == 'ratio' else k}_{name}": v for k, v in r.items()}
 
 
 @registry.register
@@ -489,7 +526,7 @@ class MultiTargetUtility(Metric):
         inner = TstrSuite(ctx, tasks=M.suggest_tasks(ctx.meta)).compute(ctx.real, ctx.synthetic, ctx.meta)
         if inner.skip_reason:
             raise Skip(inner.skip_reason)
-        out.scalars, out.notes = inner.scalars, inner.notes
+        out.scalars, out.per_column, out.notes = inner.scalars, inner.per_column, inner.notes
 
 
 @registry.register
@@ -497,22 +534,19 @@ class ModelPanelUtility(Metric):
     spec = MetricSpec("model_panel_utility", "utility", "extended", scope="table")
     options = ("tasks",)
     tasks: list[M.UtilityTask] = []
-    models = ("linear", "forest", "boosted")
+    #: Name in the result -> model.
+    models = {"linear": "linear", "random_forest": "forest", "hist_gbdt": "boosted"}
 
     def measure(self, ctx: Context, out: MetricResult) -> None:
-        by: dict[str, list[float]] = {m: [] for m in self.models}
+        named = {v: k for k, v in self.models.items()}
         for t in self.tasks:
-            if t.target not in ctx.meta.columns or not M.feature_columns(t, ctx.meta):
-                out.notes.append(f"{t.target}: unknown or without features")
-                continue
-            for m, (a, b) in task_scores(ctx, t, self.models).items():
-                if (r := utility_ratio(a, b)) is not None:
-                    by[m].append(r)
+            out.per_column |= {f"{t.target}/{named[m]}": r for m, r in task_scores(ctx, t, tuple(named), out.notes).items()}
+        by = {m: [r["ratio"] for key, r in out.per_column.items() if key.endswith(f"/{m}") and "ratio" in r] for m in self.models}
         means = {m: mean(v) for m, v in by.items() if v}
         if not means:
             raise Skip("no task could be evaluated")
-        centre = mean(means.values())
-        out.scalars = {"score": clip(centre), "utility_ratio_mean": centre} | {f"ratio_{m}": v for m, v in means.items()} | {"ratio_spread": math.sqrt(mean((v - centre) ** 2 for v in means.values()))}
+        score, centre = mean(x for v in by.values() for x in v), mean(means.values())
+        out.scalars = {"score": score, "utility_ratio_mean": score} | {f"ratio_{m}": v for m, v in means.items()} | {"ratio_spread": math.sqrt(mean((v - centre) ** 2 for v in means.values()))}
 
 
 @registry.register
@@ -531,7 +565,9 @@ class FeatureImportanceSpearman(Metric):
             if len(cols) < 2:
                 out.notes.append(f"{t.target}: fewer than two informative features")
                 continue
-            labels = [r[0] for r in real.select(plain_label(t.target).alias("v")).where("v is not null").distinct().orderBy("v").collect()] if M.task_type(t, ctx.meta) == "classification" else []
+            labels = M.classes_of(real, t.target, out.notes) if M.task_type(t, ctx.meta) == "classification" else []
+            if labels is None:
+                continue
             a, b = (M.importances(d, t, ctx.meta, cols, labels, ctx.random_state) for d in (real, syn))
             rho = spearman([a[c] for c in cols], [b[c] for c in cols])
             if math.isnan(rho):
@@ -552,7 +588,7 @@ class DiscriminativeScore(Metric):
         if min(ctx.sizes["r"], ctx.sizes["s"]) < 2:
             raise Skip("fewer than two rows on a side")
         data, _ = M.vectors(ctx.pair.where("_side <> 'h'"), ctx.meta)
-        parts = M.folds(data, 10, ctx.random_state)
+        parts = M.folds(data, 10, ctx.random_state, "y")
         train = parts.where("fold < 7").withColumnRenamed("y", "_y")
         model = M.estimator("forest", "classification", 1, 2, 1.0, ctx.random_state).fit(train)
         a = M.area(model.transform(parts.where("fold >= 7")), "y")

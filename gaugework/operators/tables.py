@@ -249,13 +249,14 @@ def subgroup_shapes(pair: DataFrame, where: dict[str, Column], numeric: list[str
 # ---- fairness --------------------------------------------------------------------------------
 
 
-def outcome_rates(pair: DataFrame, attribute: str, outcome: str, favourable: str) -> DataFrame:
-    """-> _side, grp, rate of the favourable outcome among complete rows."""
-    rows = pair.where("_side in ('r', 's')").select("_side", plain_label(attribute).alias("grp"), plain_label(outcome).alias("y")).where("grp is not null and y is not null")
+def outcome_rates(pair: DataFrame, attribute: str, outcome: str, favourable: str | float) -> DataFrame:
+    """-> _side, grp, rate of the favourable outcome among complete rows. A number is compared by value, a string as a label."""
+    y = plain_label(outcome) if isinstance(favourable, str) else number(outcome)
+    rows = pair.where("_side in ('r', 's')").select("_side", plain_label(attribute).alias("grp"), y.alias("y")).where("grp is not null and y is not null")
     return rows.groupBy("_side", "grp").agg(F.avg((F.col("y") == favourable).cast("double")).alias("rate"))
 
 
-def parity(pair: DataFrame, attribute: str, outcome: str, favourable: str) -> DataFrame:
+def parity(pair: DataFrame, attribute: str, outcome: str, favourable: str | float) -> DataFrame:
     """-> spd_real, spd_synthetic, parity_drift (1 if a real group is missing)."""
     g = outcome_rates(pair, attribute, outcome, favourable).groupBy("grp").agg(*[F.max(F.when(F.col("_side") == s, F.col("rate"))).alias(s) for s in "rs"])
     g = g.where("r is not null")

@@ -261,6 +261,11 @@ def _parity(spark, d):
     return T.parity(LINE.frame(spark, d), "l_returnflag", "l_linestatus", "O")
 
 
+@query("statistical_parity_number", with_pair(LINE, PARITY.replace("l_linestatus = 'O'", "CAST(l_quantity AS DOUBLE) = 7"), final=f"SELECT {r6('a', 'spd_real')}, {r6('b', 'spd_synthetic')}, {r6('CASE WHEN lost THEN 1.0 ELSE abs(b - a) END', 'parity_drift')} FROM t"))
+def _parity_number(spark, d):
+    return T.parity(LINE.frame(spark, d), "l_returnflag", "l_quantity", 7.0)
+
+
 @query("rare_category_retention", with_pair(PART, lab(PART, False), FREQ, "rare AS (SELECT *, least(ps / pr, 1.0) AS k FROM freq WHERE pr > 0 AND pr < 0.05)", final=f"SELECT col, count(*) AS n_rare, count(*) FILTER (ns = 0) AS n_missing, {r6('sum(k)', 'kept')}, {r6('avg(k)', 'retention')} FROM rare GROUP BY col"))
 def _rare(spark, d):
     return T.rare_categories(PART.frame(spark, d).where("_side <> 'h'"), list(PART.categorical))

@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRe
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import saved
@@ -18,6 +18,8 @@ from . import kernels as K
 from .neighbors import auc
 
 TREES, BOOSTS = 100, 20
+#: Classes beyond which a target is no target for a classifier; places of a rank that are told apart.
+MOST_CLASSES, RANKS = 1000, 100_000
 
 
 def vectors(pair: DataFrame, meta: Metadata) -> tuple[DataFrame, int]:
@@ -61,14 +63,30 @@ def propensity_mse(data: DataFrame, share: float, n: int) -> float:
 
 
 def permuted(data: DataFrame, seed: int, ones: int, n: int) -> DataFrame:
-    """Labels dealt anew by the rank of a hash of the row (the count of ones is met up to 0.05 % of the rows)."""
-    h = F.xxhash64(F.lit(seed), "_row").cast("double")
-    cut = data.select(h.alias("h")).approxQuantile("h", [ones / n], 0.0005)[0]
+    """Labels dealt anew by the rank of a hash of the row; the count of ones is met (up to 1 in ``RANKS`` of the rows)."""
+    h = F.xxhash64(F.lit(seed), "_row")
+    if not 0 < ones < n:
+        return data.withColumn("y", F.lit(float(ones > 0)))
+    cut = data.agg(F.percentile_approx(h, ones / n, RANKS)).first()[0]
     return data.withColumn("y", (h <= F.lit(cut)).cast("double"))
 
 
-def folds(data: DataFrame, n: int, seed: int) -> DataFrame:
-    return data.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(n)).cast("int"))
+def dealt(df: DataFrame, parts: list[float], seed: int, by: Column | None = None, row: str = "_row") -> DataFrame:
+    """A ``fold`` for each row: how many of the rising shares ``parts`` its rank by a hash lies above, within its class.
+
+    The ranks' cuts are approximate quantiles of each class that are exact up to ``RANKS`` rows and within 1 in
+    ``RANKS`` beyond, so classes are dealt in proportion without sorting any of them. A null class is a class of its own.
+    """
+    by = F.lit(0) if by is None else by
+    h = F.xxhash64(F.lit(seed), row)
+    df = df.withColumn("_class", F.coalesce(by.cast("string"), F.lit(""))).withColumn("_h", h)
+    cuts = df.groupBy("_class").agg(F.percentile_approx("_h", parts, RANKS).alias("_cuts"))
+    return df.join(cuts, "_class").withColumn("fold", F.size(F.filter("_cuts", lambda c: c < F.col("_h")))).drop("_class", "_h", "_cuts")
+
+
+def folds(data: DataFrame, n: int, seed: int, by: str | None = None) -> DataFrame:
+    """``fold`` 0 to n - 1, stratified by the column ``by``."""
+    return dealt(data, [i / n for i in range(1, n)], seed, F.col(by) if by else None)
 
 
 def area(scored: DataFrame, y: str) -> float:
@@ -176,10 +194,24 @@ def estimator(name: str, kind: str, n: int, classes: int, sd: float, seed: int):
 
 
 def split(df: DataFrame, by: str | None, share: float, seed: int, id_column: str = "_row") -> tuple[DataFrame, DataFrame]:
-    """A seeded split by a hash of row and class (so each class is split alike in expectation, with no shuffle)."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *([plain_label(by)] if by else []), id_column), F.lit(1_000_000))
-    cut = int(share * 1_000_000)
-    return df.where(h < cut), df.where(h >= cut)
+    """A seeded split, stratified by the labels of the column ``by``."""
+    parts = dealt(df, [share], seed, plain_label(by) if by else None, id_column)
+    return parts.where("fold = 0").drop("fold"), parts.where("fold = 1").drop("fold")
+
+
+def classes_of(df: DataFrame, target: str, notes: list[str] | None = None, most: int = MOST_CLASSES) -> list[str] | None:
+    """The sorted labels of a target; None, with a note, if they are more than a classifier is made for."""
+    found = [r[0] for r in df.select(plain_label(target).alias("v")).where("v is not null").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        if notes is not None:
+            notes.append(f"{target}: more than {most} classes")
+        return None
+    return sorted(found)
+
+
+def class_index(target: str, classes: list[str]) -> Column:
+    """The place of a row's label among the classes, from 0; -1 for other labels, null for none."""
+    return F.array_position(F.array(*[F.lit(x) for x in classes]), plain_label(target)).cast("double") - 1
 
 
 def fit_and_score(train: DataFrame, test: DataFrame, task: UtilityTask, meta: Metadata, name: str, seed: int, labels: list[str] | None = None) -> float | None:
@@ -191,7 +223,7 @@ def fit_and_score(train: DataFrame, test: DataFrame, task: UtilityTask, meta: Me
     if kind == "regression":
         y = number(task.target)
     else:
-        y = F.array_position(F.array(*[F.lit(x) for x in labels or []]), plain_label(task.target)).cast("double") - 1
+        y = class_index(task.target, labels or [])
     train, test = (d.withColumn("_y", y).where("_y is not null and _y >= 0" if kind != "regression" else "_y is not null") for d in (train, test))
     stats = train.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_y").alias("k"), F.stddev_pop("_y").alias("s"), F.min("_y").alias("lo")).first()
     if stats["n"] < 2:
@@ -212,7 +244,7 @@ def fit_and_score(train: DataFrame, test: DataFrame, task: UtilityTask, meta: Me
 def importances(df: DataFrame, task: UtilityTask, meta: Metadata, columns: list[str], labels: list[str], seed: int) -> dict[str, float]:
     """Impurity importances of a forest, summed to the source columns."""
     kind = task_type(task, meta)
-    y = number(task.target) if kind == "regression" else F.array_position(F.array(*[F.lit(x) for x in labels]), plain_label(task.target)).cast("double") - 1
+    y = number(task.target) if kind == "regression" else class_index(task.target, labels)
     df = df.withColumn("_y", y).where("_y is not null" if kind == "regression" else "_y >= 0")
     ready = prepare(df, columns, meta)
     model = estimator("forest", kind, 1, len(labels), 1.0, seed).fit(ready.apply(df))

@@ -216,3 +216,60 @@ def test_the_scorecard_permutes_as_often_as_the_operator(spark, monkeypatch):
     catalogue.flagship(spark, "/root/testdata/sf0.001")
     assert seen["holdout"] is not None and "n_permutations" not in (seen.get("metric_options") or {}).get("pmse", {})
     assert g.registry.get("pmse").n_permutations == 20
+
+
+def shifted(spark, move):
+    """y tells x > 0 in group A and x > 5 in group B; ``move`` is added to x in group B."""
+    rows = [("A", float(2 * (i % 2) - 1), str(i % 2)) for i in range(280)] + [("B", 4.0 + 2 * (i % 2) + move, str(i % 2)) for i in range(120)]
+    return spark.createDataFrame(rows, "g string, x double, y string")
+
+
+def test_minority_utility_gap(spark):
+    real = shifted(spark, 0.0)
+    meta = g.Metadata.infer(real)
+    options = {"tasks": [g.UtilityTask("y", "classification")], "subgroup_specs": [g.SubgroupSpec("b-group", {"g": ["B"]})]}
+    cls = g.registry.get("minority_utility_gap")
+    same = cls(**options).compute(real, real, meta)
+    assert same.scalars["score"] > 0.95 and set(same.per_column) == {"b-group|y"}
+    moved = cls(**options).compute(real, shifted(spark, -4.0), meta)
+    assert moved.scalars["score"] < 0.85 and moved.per_column["b-group|y"]["excess_gap"] > 0.1
+    one_class = cls(**options).compute(real, shifted(spark, 0.0).where("y = '1'"), meta)
+    assert one_class.skip_reason and "fewer than two classes" in one_class.notes[0]
+    options["subgroup_specs"] = [g.SubgroupSpec("right", {"x": (5.0, None)})]
+    assert cls(**options).compute(real, real, meta).skip_reason  # a single class inside
+
+
+def test_outcomes_are_compared_by_value(spark):
+    rows = [("a", 1.0)] * 8 + [("a", 0.0)] * 2 + [("b", 1.0)] * 4 + [("b", 0.0)] * 6
+    real = spark.createDataFrame(rows, "grp string, approved double")
+    fair = real.withColumn("approved", (real.approved > 2).cast("double"))
+    cls, meta = g.registry.get("statistical_parity"), g.Metadata.infer(real)
+    got = [cls(specs=[g.FairnessSpec("grp", "approved", v)]).compute(real, fair, meta).scalars for v in (1, 1.0, None)]
+    assert got[0] == got[1] == got[2] and got[0]["spd_real"] == pytest.approx(0.4) and got[0]["score"] == pytest.approx(0.6)
+    codes = spark.createDataFrame([(1.0,), (2.0,), (None,)], "code double")
+    assert codes.where(g.SubgroupSpec("one", {"code": [1]}).column()).count() == 1
+
+
+def test_splits_are_stratified(spark):
+    from gaugework.plans import models as M
+
+    df = spark.range(1000).selectExpr("id as _row", "case when id % 10 = 0 then 'rare' when id % 7 = 0 then null else 'often' end as y")
+    train, test = M.split(df, "y", 0.7, 3)
+    whole = {r.y: r["count"] for r in df.groupBy("y").count().collect()}
+    for part, share in ((train, 0.7), (test, 0.3)):
+        assert all(abs(r["count"] - share * whole[r.y]) <= 1 for r in part.groupBy("y").count().collect())
+    assert train.join(test, "_row").count() == 0 and train.count() + test.count() == 1000
+    sizes = {(r.y, r.fold): r["count"] for r in M.folds(df, 5, 1, "y").groupBy("y", "fold").count().collect()}
+    assert len(sizes) == 15 and all(abs(n - whole[y] / 5) <= 1 for (y, _), n in sizes.items())
+    assert M.permuted(df, 5, 333, 1000).where("y = 1").count() == 333
+    assert M.classes_of(df, "y") == ["often", "rare"]
+    notes = []
+    assert M.classes_of(df, "_row", notes, 10) is None and notes
+
+
+def test_panel_names_its_models_and_averages_ratios(tables, meta):
+    cls = g.registry.get("model_panel_utility")
+    r = cls(tasks=[g.UtilityTask("income", "regression", ("age",))]).compute(tables["real"], tables["good"], meta)
+    assert {k for k in r.scalars if k.startswith("ratio_")} == {"ratio_linear", "ratio_random_forest", "ratio_hist_gbdt", "ratio_spread"}
+    assert set(r.per_column) == {f"income/{m}" for m in ("linear", "random_forest", "hist_gbdt")}
+    assert r.scalars["score"] == pytest.approx(np.mean([x["ratio"] for x in r.per_column.values()]))
