@@ -50,7 +50,7 @@ class CiOverlap(Metric):
 
     def measure(self, ctx: Context, out: MetricResult) -> None:
         cols = need(ctx.meta.numeric, "numeric")
-        rows = rows_of(T.ci_overlap(ctx.pair, cols, self.use_real_se), cols)
+        rows = rows_of(T.ci_overlap(ctx.pair, cols, self.use_real_se, ctx.moments), cols)
         left_out(out, cols, rows)
         averaged(out, rows, "ci_overlap", "mean_ci_overlap", score=clip)
 
@@ -77,7 +77,7 @@ class DimensionWiseMeans(Metric):
 
     def measure(self, ctx: Context, out: MetricResult) -> None:
         cols = need(ctx.meta.numeric, "numeric")
-        rows = rows_of(T.standardised_means(ctx.pair, cols), cols)
+        rows = rows_of(T.standardised_means(ctx.pair, cols, ctx.moments), cols)
         left_out(out, cols, rows)
         averaged(out, rows, "std_mean_diff", "mean_abs_std_diff")
 
@@ -88,7 +88,7 @@ class Hellinger(Metric):
 
     def measure(self, ctx: Context, out: MetricResult) -> None:
         cols = [c.name for c in ctx.meta if c.dtype in (ColumnType.NUMERIC, ColumnType.CATEGORICAL)]
-        rows = rows_of(T.hellinger(ctx.pair, ctx.meta.numeric, ctx.meta.categorical), cols)
+        rows = rows_of(T.hellinger(ctx.pair, ctx.meta.numeric, ctx.meta.categorical, 20, ctx.moments if ctx.meta.numeric else None, ctx.labels if ctx.meta.categorical else None), cols)
         averaged(out, {c: r for c, r in rows.items() if r["hellinger"] is not None}, "hellinger", "mean_hellinger")
 
 
@@ -98,13 +98,13 @@ class KsStatistic(Metric):
 
     def measure(self, ctx: Context, out: MetricResult) -> None:
         cols = need(ctx.meta.numeric, "numeric")
-        rows = rows_of(T.ks(ctx.pair, cols), cols)
+        rows = rows_of(T.ks(ctx.pair, cols, ctx.sweep), cols)
         left_out(out, cols, rows)
         for r in rows.values():
             r["p_value"] = ks_p_value(r["ks_statistic"], r["n_r"], r["n_s"])
         averaged(out, rows, "ks_statistic", "mean_ks_statistic", ("ks_statistic", "p_value"))
         worst = max(rows, key=lambda c: rows[c]["ks_statistic"])
-        m = {r["column"]: r for r in K.moments(ctx.pair, [worst]).collect()}[worst]
+        m = {r["column"]: r for r in ctx.moments.collect()}[worst]
         lo, hi = min(m.lo_r, m.lo_s), max(m.hi_r, m.hi_s)
         edges = K.bins(lo, hi, 30) if hi > lo else [lo, lo + 1]
         counts = {(r["_side"], int(r["label"])): r["n"] for r in K.histogram(ctx.pair.where("_side <> 'h'"), {worst: edges}).groupBy("_side", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -140,7 +140,7 @@ class QuantileMse(Metric):
 
     def measure(self, ctx: Context, out: MetricResult) -> None:
         cols = need(ctx.meta.numeric, "numeric")
-        rows = rows_of(T.quantile_mse(ctx.pair, cols), cols)
+        rows = rows_of(T.quantile_mse(ctx.pair, cols, ctx.moments), cols)
         left_out(out, cols, rows)
         averaged(out, rows, "quantile_mse", "mean_quantile_mse", score=lambda m: clip(1 - math.sqrt(m)))
 
@@ -151,10 +151,10 @@ class Tvd(Metric):
 
     def measure(self, ctx: Context, out: MetricResult) -> None:
         cols = need(ctx.meta.categorical, "categorical")
-        rows = rows_of(T.tvd(ctx.pair, cols), cols)
+        rows = rows_of(T.tvd(ctx.pair, cols, True, ctx.labels), cols)
         averaged(out, rows, "tvd", "mean_tvd")
         worst = max(rows, key=lambda c: rows[c]["tvd"])
-        f = K.frequencies(K.label_long(ctx.pair, [worst])).orderBy(F.desc("n_r"), "label").limit(30).collect()
+        f = ctx.labels.where(F.col("column") == worst).orderBy(F.desc("n_r"), "label").limit(30).collect()
         out.plot_payload = {"kind": "bars", "column": worst, "labels": [r["label"] for r in f], "real": [r["p_r"] for r in f], "synthetic": [r["p_s"] for r in f]}
 
 
@@ -165,7 +165,7 @@ class Wasserstein(Metric):
     def measure(self, ctx: Context, out: MetricResult) -> None:
         out.notes += [f"{c.name}: not numeric" for c in ctx.meta if c.dtype is not ColumnType.NUMERIC]
         cols = need(ctx.meta.numeric, "numeric")
-        averaged(out, rows_of(T.wasserstein(ctx.pair, cols), cols), "normalised", "mean_wasserstein", ("wasserstein",))
+        averaged(out, rows_of(T.wasserstein(ctx.pair, cols, ctx.sweep, ctx.moments), cols), "normalised", "mean_wasserstein", ("wasserstein",))
 
 
 @registry.register
@@ -193,7 +193,7 @@ class Jsd(Metric):
         if not (ctx.sizes["r"] and ctx.sizes["s"]):
             raise Skip("a table is empty")
         cols = need(ctx.meta.categorical, "categorical")
-        averaged(out, rows_of(T.jsd(ctx.pair, cols), cols), "jsd", "mean_jsd", score=lambda m: 1 - m)
+        averaged(out, rows_of(T.jsd(ctx.pair, cols, ctx.labels), cols), "jsd", "mean_jsd", score=lambda m: 1 - m)
 
 
 def mmd_of(rows, space: N.Space, cap: int | None, seed: int, block: int = 4096) -> float:
@@ -278,7 +278,7 @@ class CategoryCoverage(Metric):
     def measure(self, ctx: Context, out: MetricResult) -> None:
         out.notes += [f"{c.name}: not categorical" for c in ctx.meta if c.dtype is not ColumnType.CATEGORICAL]
         cols = need(ctx.meta.categorical, "categorical")
-        averaged(out, rows_of(T.category_coverage(ctx.pair, cols), cols), "coverage", "mean_coverage", score=clip)
+        averaged(out, rows_of(T.category_coverage(ctx.pair, cols, ctx.labels), cols), "coverage", "mean_coverage", score=clip)
 
 
 @registry.register
@@ -287,7 +287,7 @@ class EntropyRatio(Metric):
 
     def measure(self, ctx: Context, out: MetricResult) -> None:
         cols = need(ctx.meta.categorical, "categorical")
-        rows = rows_of(T.entropy_ratio(ctx.pair, cols), cols)
+        rows = rows_of(T.entropy_ratio(ctx.pair, cols, ctx.labels), cols)
         left_out(out, cols, rows)
         averaged(out, rows, "ratio", "score", ("ratio", "entropy_real", "entropy_synthetic"), score=clip)
 
@@ -310,7 +310,7 @@ class RangeCoverage(Metric):
 
     def measure(self, ctx: Context, out: MetricResult) -> None:
         cols = need(ctx.meta.numeric, "numeric")
-        rows = rows_of(T.range_coverage(ctx.pair, cols), cols)
+        rows = rows_of(T.range_coverage(ctx.pair, cols, ctx.moments), cols)
         out.notes += [f"{c}: constant in the real table" for c, r in rows.items() if r["constant"]]
         averaged(out, rows, "coverage", "mean_coverage", score=clip)
 

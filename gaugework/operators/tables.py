@@ -29,19 +29,20 @@ def _below(x: Column):
 # ---- congruence ------------------------------------------------------------------------------
 
 
-def ks(pair: DataFrame, columns: list[str]) -> DataFrame:
-    return K.ks_w1(K.numeric_long(pair, columns)).select("column", "n_r", "n_s", F.col("ks").alias("ks_statistic"))
+def ks(pair: DataFrame, columns: list[str], sweep: DataFrame | None = None) -> DataFrame:
+    sweep = K.ks_w1(K.numeric_long(pair, columns)) if sweep is None else sweep
+    return sweep.select("column", "n_r", "n_s", F.col("ks").alias("ks_statistic"))
 
 
-def wasserstein(pair: DataFrame, columns: list[str]) -> DataFrame:
-    sd = K.moments(pair, columns).select("column", F.col("sd_r"))
-    t = K.ks_w1(K.numeric_long(pair, columns)).join(sd, "column")
+def wasserstein(pair: DataFrame, columns: list[str], sweep: DataFrame | None = None, moments: DataFrame | None = None) -> DataFrame:
+    moments = K.moments(pair, columns) if moments is None else moments
+    sweep = K.ks_w1(K.numeric_long(pair, columns)) if sweep is None else sweep
     scaled = F.least(F.lit(1.0), F.col("w1") / F.greatest(F.coalesce("sd_r", F.lit(0.0)), F.lit(1e-9)))
-    return t.select("column", F.col("w1").alias("wasserstein"), scaled.alias("normalised"))
+    return sweep.join(moments.select("column", "sd_r"), "column").select("column", F.col("w1").alias("wasserstein"), scaled.alias("normalised"))
 
 
-def ci_overlap(pair: DataFrame, columns: list[str], use_real_se: bool = False) -> DataFrame:
-    m = K.moments(pair, columns).where("n_r >= 2 and n_s >= 2")
+def ci_overlap(pair: DataFrame, columns: list[str], use_real_se: bool = False, moments: DataFrame | None = None) -> DataFrame:
+    m = (K.moments(pair, columns) if moments is None else moments).where("n_r >= 2 and n_s >= 2")
     half = lambda s, t: F.lit(1.96) * F.col(f"sd_{s}") / F.sqrt(F.col(f"n_{t}"))
     m = m.withColumns({"hr": half("r", "r"), "hs": half("r", "r") if use_real_se else half("s", "s")})
     lr, ur, ls, us = F.col("mean_r") - F.col("hr"), F.col("mean_r") + F.col("hr"), F.col("mean_s") - F.col("hs"), F.col("mean_s") + F.col("hs")
@@ -52,21 +53,25 @@ def ci_overlap(pair: DataFrame, columns: list[str], use_real_se: bool = False) -
     return m.select("column", F.when((wr == 0) & (ws == 0), same).when((wr == 0) | (ws == 0), F.lit(0.0)).otherwise(both).alias("ci_overlap"))
 
 
-def standardised_means(pair: DataFrame, columns: list[str]) -> DataFrame:
-    m = K.moments(pair, columns).where("n_r >= 2 and n_s >= 2 and lo_r < hi_r")
+def standardised_means(pair: DataFrame, columns: list[str], moments: DataFrame | None = None) -> DataFrame:
+    m = (K.moments(pair, columns) if moments is None else moments).where("n_r >= 2 and n_s >= 2 and lo_r < hi_r")
     return m.select("column", (F.abs(F.col("mean_r") - F.col("mean_s")) / F.col("sd_r")).alias("std_mean_diff"))
 
 
-def quantile_mse(pair: DataFrame, columns: list[str]) -> DataFrame:
-    long = K.numeric_long(pair, columns)
-    q = K.quantiles(long, GRID, "r").withColumnRenamed("q", "a").join(K.quantiles(long, GRID, "s").withColumnRenamed("q", "b"), "column")
-    q = q.join(K.moments(pair, columns).where("lo_r < hi_r").select("column", "sd_pop_r"), "column")
-    parts = F.zip_with("a", "b", lambda x, y: ((x - y) / F.col("sd_pop_r")) * ((x - y) / F.col("sd_pop_r")))
+def quantile_mse(pair: DataFrame, columns: list[str], moments: DataFrame | None = None) -> DataFrame:
+    q = K.both_quantiles(K.numeric_long(pair, columns), GRID).where("q_r is not null and q_s is not null")
+    q = q.join((K.moments(pair, columns) if moments is None else moments).where("lo_r < hi_r").select("column", "sd_pop_r"), "column")
+    parts = F.zip_with("q_r", "q_s", lambda x, y: ((x - y) / F.col("sd_pop_r")) * ((x - y) / F.col("sd_pop_r")))
     return q.select("column", (F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / len(GRID)).alias("quantile_mse"))
 
 
-def tvd(pair: DataFrame, columns: list[str], missing: bool = True) -> DataFrame:
-    f = K.frequencies(K.label_long(pair, columns, missing=missing))
+def shares(pair: DataFrame, columns: list[str], freq: DataFrame | None) -> DataFrame:
+    """The frequencies of the columns' labels, null being one of them; from a table of them if there is one."""
+    return K.frequencies(K.label_long(pair, columns)) if freq is None else freq.where(F.col("column").isin(columns))
+
+
+def tvd(pair: DataFrame, columns: list[str], missing: bool = True, freq: DataFrame | None = None) -> DataFrame:
+    f = shares(pair, columns, freq) if missing else K.frequencies(K.label_long(pair, columns, missing=False))
     return f.groupBy("column").agg((F.sum(F.abs(F.col("p_r") - F.col("p_s"))) / 2).alias("tvd"))
 
 
@@ -75,11 +80,11 @@ def _hell(f: DataFrame) -> DataFrame:
     return f.groupBy("column").agg(F.sqrt(F.sum(gap * gap) / 2).alias("hellinger"))
 
 
-def hellinger(pair: DataFrame, numeric: list[str], categorical: list[str], n_bins: int = 20) -> DataFrame:
+def hellinger(pair: DataFrame, numeric: list[str], categorical: list[str], n_bins: int = 20, moments: DataFrame | None = None, freq: DataFrame | None = None) -> DataFrame:
     """Labels as they are; numbers in equal bins over the range of both sides (one value only: distance 0)."""
-    out = _hell(K.frequencies(K.label_long(pair, categorical))) if categorical else None
+    out = _hell(shares(pair, categorical, freq)) if categorical else None
     if numeric:
-        m = [r for r in K.moments(pair, numeric).collect() if r.n_r and r.n_s]
+        m = [r for r in (K.moments(pair, numeric) if moments is None else moments).collect() if r.n_r and r.n_s]
         span = {r["column"]: (min(r.lo_r, r.lo_s), max(r.hi_r, r.hi_s)) for r in m}
         edges = {c: K.bins(lo, hi, n_bins) for c, (lo, hi) in span.items() if hi > lo}
         flat = [(c, 0.0) for c, (lo, hi) in span.items() if hi <= lo]
@@ -90,8 +95,8 @@ def hellinger(pair: DataFrame, numeric: list[str], categorical: list[str], n_bin
     return out if out is not None else pair.sparkSession.createDataFrame([], "column string, hellinger double")
 
 
-def jsd(pair: DataFrame, columns: list[str]) -> DataFrame:
-    f = K.frequencies(K.label_long(pair, columns))
+def jsd(pair: DataFrame, columns: list[str], freq: DataFrame | None = None) -> DataFrame:
+    f = shares(pair, columns, freq)
     m = (F.col("p_r") + F.col("p_s")) / 2
     half = lambda p: F.when(F.col(p) > 0, F.col(p) * F.log2(F.col(p) / m)).otherwise(0.0)
     return f.groupBy("column").agg(F.greatest(F.lit(0.0), (F.sum(half("p_r")) + F.sum(half("p_s"))) / 2).alias("jsd"))
@@ -124,12 +129,8 @@ def mutual_information(pair: DataFrame, numeric: list[str], labelled: list[str],
     probs = [i / n_bins for i in range(1, n_bins)]
     cell = {c: label(c) for c in labelled}
     if numeric:
-        long = K.numeric_long(pair, numeric)
-        edges = {}
-        for s in "rs":
-            m = {r["column"]: (r["lo"], r["hi"]) for r in K.profile(pair.where(F.col("_side") == s), numeric).collect()}
-            for r in K.quantiles(long, [0.0, *probs, 1.0], s).collect():
-                edges[s, r["column"]] = sorted(set(r["q"])) if r["column"] in m else []
+        got = K.both_quantiles(K.numeric_long(pair, numeric), [0.0, *probs, 1.0]).collect()
+        edges = {(s, r["column"]): sorted(set(r[f"q_{s}"])) for r in got for s in "rs" if r[f"q_{s}"]}
         for c in numeric:
             out = F.lit("-1")
             for s in "rs":
@@ -139,13 +140,9 @@ def mutual_information(pair: DataFrame, numeric: list[str], labelled: list[str],
                     out = F.when((F.col("_side") == s) & number(c).isNotNull(), place.cast("string")).otherwise(out)
             cell[c] = out
     columns = [*numeric, *labelled]
-    t = K.with_margins(K.contingency(pair, list(itertools.combinations(columns, 2)), cell))
-    n, nu, nv, total = (F.col(c).cast("double") for c in ("n", "nu", "nv", "t"))
-    # entropies from the joint table: each row carries its share of its margin
-    g = t.groupBy("_side", "a", "b").agg(
-        F.sum(n / total * F.log(n * total / (nu * nv))).alias("mi"), (-F.sum(n / total * F.log(nu / total))).alias("hu"), (-F.sum(n / total * F.log(nv / total))).alias("hv"),
-    )
-    nmi = F.when((F.col("hu") + F.col("hv")) < 1e-15, F.lit(1.0)).otherwise(clip(F.try_divide(2 * F.col("mi"), F.col("hu") + F.col("hv"))))
+    g = K.entropies(K.contingency(pair, list(itertools.combinations(columns, 2)), cell))
+    mi = F.greatest(F.col("hu") + F.col("hv") - F.col("huv"), F.lit(0.0))
+    nmi = F.when((F.col("ku") == 1) & (F.col("kv") == 1), F.lit(1.0)).otherwise(clip(F.try_divide(2 * mi, F.col("hu") + F.col("hv"))))
     g = g.select("_side", "a", "b", nmi.alias("value")).groupBy("a", "b").agg(*[F.max(F.when(F.col("_side") == s, F.col("value"))).alias(x) for s, x in (("r", "real"), ("s", "synthetic"))])
     return g.withColumn("abs_mi_diff", F.abs(F.col("real") - F.col("synthetic")))
 
@@ -177,22 +174,22 @@ def sliced(pair: DataFrame, columns: list[str], directions: list[list[float]]) -
 # ---- coverage --------------------------------------------------------------------------------
 
 
-def category_coverage(pair: DataFrame, columns: list[str]) -> DataFrame:
-    f = K.frequencies(K.label_long(pair, columns))
+def category_coverage(pair: DataFrame, columns: list[str], freq: DataFrame | None = None) -> DataFrame:
+    f = shares(pair, columns, freq)
     got = F.sum(F.when((F.col("n_r") > 0) & (F.col("n_s") > 0), 1).otherwise(0))
     return f.groupBy("column").agg(F.try_divide(got.cast("double"), F.sum(F.when(F.col("n_r") > 0, 1).otherwise(0)).cast("double")).alias("coverage")).where("coverage is not null")
 
 
-def range_coverage(pair: DataFrame, columns: list[str]) -> DataFrame:
-    m = K.moments(pair, columns).where("n_r > 0 and n_s > 0")
+def range_coverage(pair: DataFrame, columns: list[str], moments: DataFrame | None = None) -> DataFrame:
+    m = (K.moments(pair, columns) if moments is None else moments).where("n_r > 0 and n_s > 0")
     overlap = F.greatest(F.lit(0.0), F.least("hi_r", "hi_s") - F.greatest("lo_r", "lo_s"))
     inside = ((F.col("lo_s") <= F.col("lo_r")) & (F.col("lo_r") <= F.col("hi_s"))).cast("double")
     return m.select("column", F.when(F.col("hi_r") == F.col("lo_r"), inside).otherwise(F.try_divide(overlap, F.col("hi_r") - F.col("lo_r"))).alias("coverage"), (F.col("hi_r") == F.col("lo_r")).alias("constant"))
 
 
-def entropy_ratio(pair: DataFrame, columns: list[str]) -> DataFrame:
+def entropy_ratio(pair: DataFrame, columns: list[str], freq: DataFrame | None = None) -> DataFrame:
     h = lambda p: -F.sum(F.when(F.col(p) > 0, F.col(p) * F.log(p)).otherwise(0.0))
-    g = K.frequencies(K.label_long(pair, columns)).groupBy("column").agg(h("p_r").alias("entropy_real"), h("p_s").alias("entropy_synthetic"))
+    g = shares(pair, columns, freq).groupBy("column").agg(h("p_r").alias("entropy_real"), h("p_s").alias("entropy_synthetic"))
     return g.where("entropy_real > 0").select("column", F.least(F.lit(1.0), F.col("entropy_synthetic") / F.col("entropy_real")).alias("ratio"), "entropy_real", "entropy_synthetic")
 
 

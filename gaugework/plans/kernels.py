@@ -54,15 +54,29 @@ def moments(pair: DataFrame, columns: list[str], sides: tuple[str, ...] = ("r",
     return p.groupBy("column").agg(*[F.max(F.when(F.col("_side") == side, F.col(s))).alias(f"{s}_{side}") for side in sides for s in stats])
 
 
-def ecdf(long: DataFrame, sides: tuple[str, ...] = ("r", "s"), by: tuple[str, ...] = ("column",)) -> DataFrame:
+def cuts_for(rows: int) -> int:
+    """As many cuts of a value range as leave some 100 000 of ``rows`` between two of them, in steps of 64."""
+    return CUTS * max(1, min(CUTS, rows // (100_000 * CUTS)))
+
+
+def ecdf(long: DataFrame, sides: tuple[str, ...] = ("r", "s"), by: tuple[str, ...] = ("column",), cuts: int = CUTS) -> DataFrame:
     """Counts up to each distinct value: by..., x, next_x, and n_<side> (at x), c_<side> (up to x), t_<side> (all).
 
-    A column's values never meet in one task: they are cut at approximate quantiles, summed inside
-    each cut, and only the cuts' totals (at most ``CUTS`` a column) are scanned in order.
+    A column's values never meet in one task: they are cut at ``cuts`` approximate quantiles (see
+    ``cuts_for``), summed inside each cut, and only the cuts' totals are scanned in order. A value finds
+    its cut in two steps, among every 64th edge and then among the 64 that follow.
     """
     counts = long.groupBy(*by, "x").agg(*[F.sum(F.when(F.col("_side") == s, 1).otherwise(0)).alias(f"n_{s}") for s in sides])
-    edges = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx("x", [i / CUTS for i in range(1, CUTS)], 400)).alias("_edges"))
-    counts = counts.join(edges, list(by)).withColumn("_cut", F.size(F.filter("_edges", lambda e: e <= F.col("x")))).drop("_edges")
+    found = F.array_distinct(F.percentile_approx("x", [i / cuts for i in range(1, cuts)], 8 * cuts))
+    edges = counts.groupBy(*by).agg(found.alias("_edges"))
+    upto = lambda e: e <= F.col("x")
+    if cuts > CUTS:
+        edges = edges.withColumn("_far", F.filter("_edges", lambda _, i: i % CUTS == CUTS - 1))
+        coarse = F.size(F.filter("_far", upto)) * CUTS
+        place = coarse + F.size(F.filter(F.slice("_edges", coarse + 1, CUTS), upto))
+    else:
+        place = F.size(F.filter("_edges", upto))
+    counts = counts.join(edges, list(by)).withColumn("_cut", place).drop("_edges", "_far")
     totals = counts.groupBy(*by, "_cut").agg(F.min("x").alias("_first"), *[F.sum(f"n_{s}").alias(f"_n_{s}") for s in sides])
     order = Window.partitionBy(*by).orderBy("_cut")
     before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
@@ -78,16 +92,15 @@ def ecdf(long: DataFrame, sides: tuple[str, ...] = ("r", "s"), by: tuple[str, ..
     return counts.select(*by, "x", F.coalesce("_next", "_then").alias("next_x"), *[f"n_{s}" for s in sides], *[(F.col(f"_c_{s}") + F.col(f"_b_{s}")).alias(f"c_{s}") for s in sides], *[f"t_{s}" for s in sides])
 
 
-def ks_w1(long: DataFrame, by: tuple[str, ...] = ("column",)) -> DataFrame:
+def ks_w1(long: DataFrame, by: tuple[str, ...] = ("column",), cuts: int = CUTS) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance and first Wasserstein distance: by..., n_r, n_s, ks, w1."""
-    e = ecdf(long, by=by).where("t_r > 0 and t_s > 0")
+    e = ecdf(long, by=by, cuts=cuts).where("t_r > 0 and t_s > 0")
     gap = F.abs(F.col("c_r") / F.col("t_r") - F.col("c_s") / F.col("t_s"))
     return e.groupBy(*by).agg(F.max("t_r").alias("n_r"), F.max("t_s").alias("n_s"), F.max(gap).alias("ks"), F.coalesce(F.sum(gap * (F.col("next_x") - F.col("x"))), F.lit(0.0)).alias("w1"))
 
 
-def quantiles(long: DataFrame, probs: list[float], side: str = "r", by: tuple[str, ...] = ("column",)) -> DataFrame:
-    """Exact quantiles with linear interpolation: by..., q (array in the order of ``probs``)."""
-    e = ecdf(long.where(F.col("_side") == side), (side,), by)
+def _at_ranks(side: str, probs: list[float]) -> list[Column]:
+    """Aggregates over an ECDF from which ``_between`` makes the quantiles of a side."""
     c, t = F.col(f"c_{side}"), F.col(f"t_{side}")
 
     def at(k: Column) -> Column:  # the k-th smallest value, from 0
@@ -96,9 +109,24 @@ def quantiles(long: DataFrame, probs: list[float], side: str = "r", by: tuple[st
     parts = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (t - 1)
-        parts += [at(F.floor(pos)).alias(f"a{i}"), at(F.least(F.floor(pos) + 1, t - 1)).alias(f"b{i}"), F.max(pos - F.floor(pos)).alias(f"f{i}")]
-    g = e.groupBy(*by).agg(*parts)
-    return g.select(*by, F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"f{i}") for i in range(len(probs))]).alias("q"))
+        parts += [at(F.floor(pos)).alias(f"a{i}{side}"), at(F.least(F.floor(pos) + 1, t - 1)).alias(f"b{i}{side}"), F.max(pos - F.floor(pos)).alias(f"f{i}{side}")]
+    return parts
+
+
+def _between(side: str, n: int) -> Column:
+    return F.array(*[F.col(f"a{i}{side}") + (F.col(f"b{i}{side}") - F.col(f"a{i}{side}")) * F.col(f"f{i}{side}") for i in range(n)])
+
+
+def quantiles(long: DataFrame, probs: list[float], side: str = "r", by: tuple[str, ...] = ("column",)) -> DataFrame:
+    """Exact quantiles with linear interpolation: by..., q (array in the order of ``probs``)."""
+    g = ecdf(long.where(F.col("_side") == side), (side,), by).groupBy(*by).agg(*_at_ranks(side, probs))
+    return g.select(*by, _between(side, len(probs)).alias("q"))
+
+
+def both_quantiles(long: DataFrame, probs: list[float], by: tuple[str, ...] = ("column",)) -> DataFrame:
+    """The quantiles of both sides from one sweep: by..., q_r, q_s (null where a side has no value)."""
+    g = ecdf(long, by=by).groupBy(*by).agg(*[x for s in "rs" for x in _at_ranks(s, probs)], *[F.max(f"t_{s}").alias(f"t_{s}") for s in "rs"])
+    return g.select(*by, *[F.when(F.col(f"t_{s}") > 0, _between(s, len(probs))).alias(f"q_{s}") for s in "rs"])
 
 
 def frequencies(long: DataFrame, by: tuple[str, ...] = ("column",)) -> DataFrame:
@@ -170,23 +198,35 @@ def pearson(pair: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def contingency(pair: DataFrame, pairs: list[tuple[str, str]], cell: dict[str, Column]) -> DataFrame:
-    """-> _side, a, b, u, v, n: counts of label pairs; one explode serves all column pairs. Null labels are left out."""
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), cell[a].alias("u"), cell[b].alias("v")) for a, b in pairs])
+    """-> _side, a, b, u, v, n: counts of label pairs; one explode serves all column pairs. Null labels are left out.
+
+    Rows are summed up by the number of their pair before they are shuffled; its names come in afterwards.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), cell[a].alias("u"), cell[b].alias("v")) for i, (a, b) in enumerate(pairs)])
     long = pair.select("_side", F.explode(cells).alias("_c")).select("_side", "_c.*").where("u is not null and v is not null")
-    return long.groupBy("_side", "a", "b", "u", "v").agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])[F.col("i")]
+    return long.groupBy("_side", "i", "u", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("_p", names).select("_side", "_p.a", "_p.b", "u", "v", "n")
 
 
-def with_margins(table: DataFrame) -> DataFrame:
-    w = lambda *k: Window.partitionBy("_side", "a", "b", *k)
-    return table.withColumns({"nu": F.sum("n").over(w("u")), "nv": F.sum("n").over(w("v")), "t": F.sum("n").over(w())})
+def entropies(table: DataFrame) -> DataFrame:
+    """Contingency counts -> _side, a, b, hu, hv (entropies of the margins), huv (of the pairs), ku, kv (levels); no pair meets in one task."""
+    pair, side = ("_side", "a", "b"), lambda c: c.cast("double") * F.log(c.cast("double"))
+    out = table.groupBy(*pair).agg(F.sum("n").alias("t"), F.sum(side(F.col("n"))).alias("huv"))
+    for c in "uv":
+        margin = table.groupBy(*pair, c).agg(F.sum("n").alias("n")).groupBy(*pair)
+        out = out.join(margin.agg(F.sum(side(F.col("n"))).alias(f"h{c}"), F.count(F.lit(1)).alias(f"k{c}")), list(pair))
+    h = lambda c: F.greatest(F.log("t") - F.col(c) / F.col("t"), F.lit(0.0)).alias(c)
+    return out.select(*pair, h("hu"), h("hv"), h("huv"), "ku", "kv")
 
 
 def cramers_v(pair: DataFrame, columns: list[str]) -> DataFrame:
     """-> _side, a, b, value: without bias or continuity correction; null where a side has one level only."""
-    table = with_margins(contingency(pair, list(itertools.combinations(columns, 2)), {c: plain_label(c) for c in columns}))
+    table = contingency(pair, list(itertools.combinations(columns, 2)), {c: plain_label(c) for c in columns})
+    margin = lambda c: F.sum("n").over(Window.partitionBy("_side", "a", "b", c))
+    table = table.withColumns({"nu": margin("u"), "nv": margin("v")})
     # chi2 = t * (sum n^2 / (nu nv) - 1), so empty cells need no rows
     g = table.groupBy("_side", "a", "b").agg(
-        F.max("t").alias("t"), F.sum(F.col("n").cast("double") * F.col("n") / (F.col("nu").cast("double") * F.col("nv"))).alias("q"),
+        F.sum(F.col("n").cast("double") * F.col("n") / (F.col("nu").cast("double") * F.col("nv"))).alias("q"),
         F.countDistinct("u").alias("k"), F.countDistinct("v").alias("l"),
     )
     v = F.sqrt(F.greatest(F.col("q") - 1, F.lit(0.0)) / (F.least("k", "l") - 1))

@@ -47,7 +47,7 @@ class Skip(Exception):
 class Context:
     """What the metrics of one run share: the tagged pair, written once, and its encodings."""
 
-    def __init__(self, real: DataFrame | None, synthetic: DataFrame, meta: Metadata, *, holdout: DataFrame | None = None, distance: str = "euclidean", random_state: int = 42, cap: int = 2000):
+    def __init__(self, real: DataFrame | None, synthetic: DataFrame, meta: Metadata, *, holdout: DataFrame | None = None, distance: str = "euclidean", random_state: int = 42, cap: int | None = None):
         if distance not in ("euclidean", "gower"):
             raise MetricError(f"unknown distance {distance!r}")
         self.real, self.synthetic, self.holdout, self.meta = real, synthetic, holdout, meta
@@ -63,14 +63,29 @@ class Context:
     def sizes(self) -> dict[str, int]:
         return {"r": 0, "s": 0, "h": 0} | {r["_side"]: r["count"] for r in self.pair.groupBy("_side").count().collect()}
 
+    @cached_property
+    def moments(self) -> DataFrame:
+        """Moments of every numeric column on both sides, a row a column: one aggregation for all metrics."""
+        return saved(K.moments(self.pair, self.meta.numeric), "moments")
+
+    @cached_property
+    def sweep(self) -> DataFrame:
+        """Distances of the two distributions of every numeric column, from one sweep over all values."""
+        return saved(K.ks_w1(K.numeric_long(self.pair.where("_side <> 'h'"), self.meta.numeric), cuts=K.cuts_for(self.sizes["r"] + self.sizes["s"])), "sweep")
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        """Frequencies of the labels of every categorical and boolean column, null being a label."""
+        return saved(K.frequencies(K.label_long(self.pair, self.meta.labelled)), "labels")
+
     def space(self, distance: str | None = None, numeric: list[str] | None = None, categorical: list[str] | None = None, capped: bool = True) -> tuple[DataFrame, N.Space]:
-        """Encoded rows of all sides. Gower frames are capped (the metric then says so), euclidean ones never."""
+        """Encoded rows of all sides. Only gower frames can be capped, if ``cap`` is given; the metric then says so."""
         distance = distance or self.distance
         make = N.encode if distance == "euclidean" else N.gower
         rows, space = make(self.pair, self.meta, "_row", numeric, categorical)
         if not space.width:
             raise Skip("no numeric or categorical column to compare")
-        if distance == "gower" and capped and max(self.sizes.values()) > self.cap:
+        if distance == "gower" and capped and self.cap and max(self.sizes.values()) > self.cap:
             parts = [N.cap(rows.where(F.col("_side") == s), self.cap, self.random_state) for s in "rsh" if self.sizes[s]]
             rows = parts[0]
             for p in parts[1:]:
@@ -82,7 +97,7 @@ class Context:
         return self.space()
 
     def capped(self) -> list[str]:
-        return ["capped for gower"] if self.distance == "gower" and max(self.sizes.values()) > self.cap else []
+        return ["capped for gower"] if self.distance == "gower" and self.cap and max(self.sizes.values()) > self.cap else []
 
     def near(self, a: str, b: str, k: int = 1, shared: tuple[DataFrame, N.Space] | None = None) -> DataFrame:
         rows, space = shared or self.shared
