@@ -266,21 +266,29 @@ def parity(pair: DataFrame, attribute: str, outcome: str, favourable: str | floa
 # ---- compliance ------------------------------------------------------------------------------
 
 
+#: Numbers that are cut into bins together, and thresholds that a bin is wide.
+BINNED, WIDTH = 6, 4
+
+
 def hits(pair: DataFrame, numeric: list[str], categorical: list[str], thresholds: dict[str, float], id_column: str) -> DataFrame:
     """-> n_real, n_hit: real rows with a synthetic row equal in all labels and within the thresholds in all numbers.
 
-    A band join: the first number with a positive threshold is cut into bins as wide as it, and a real
-    row meets the synthetic rows of its bin and the two beside it, so the join has an equality key.
+    A band join with an equality key: up to ``BINNED`` numbers with a threshold are cut into bins of
+    ``WIDTH`` thresholds, a real row lies in one cell of them, and a synthetic row in the cells that its
+    thresholds reach (one or two bins a number, 1.5 on the average). With r bins a number the rows spread over r to the
+    power of the numbers cells, so that tables without labels do not meet in a few tasks either.
     """
     real = pair.where("_side = 'r'").select(F.col(f"`{id_column}`").alias("_id"), *[number(c).alias(f"x{i}") for i, c in enumerate(numeric)], *[label(c).alias(f"k{i}") for i, c in enumerate(categorical)])
     syn = pair.where("_side = 's'").select(*[number(c).alias(f"y{i}") for i, c in enumerate(numeric)], *[label(c).alias(f"m{i}") for i, c in enumerate(categorical)]).distinct()
     cond = [F.col(f"k{i}") == F.col(f"m{i}") for i in range(len(categorical))]
-    banded = next((i for i, c in enumerate(numeric) if thresholds.get(c, 0) > 0), None)
-    if banded is not None:
-        t = thresholds[numeric[banded]]
-        real = real.withColumn("_bin", F.floor(F.col(f"x{banded}") / F.lit(t)))
-        syn = syn.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: F.floor(F.col(f"y{banded}") / F.lit(t)) + o)))
-        cond.append(F.col("_bin") == F.col("_b"))
+    for i in [i for i, c in enumerate(numeric) if thresholds.get(c, 0) > 0][:BINNED]:
+        t = thresholds[numeric[i]]
+        # A little beyond the threshold, so that rounding at a border loses no row; the exact test follows.
+        at = lambda x: F.floor(x / F.lit(WIDTH * t))  # noqa: B023, E731
+        low, high = at(F.col(f"y{i}") - F.lit(t * (1 + 1e-6))), at(F.col(f"y{i}") + F.lit(t * (1 + 1e-6)))
+        real = real.withColumn(f"_bin{i}", at(F.col(f"x{i}")))
+        syn = syn.withColumn(f"_cell{i}", F.explode(F.sequence(low, high)))
+        cond.append(F.col(f"_bin{i}") == F.col(f"_cell{i}"))
     for i, c in enumerate(numeric):
         cond.append(F.abs(F.col(f"x{i}") - F.col(f"y{i}")) <= F.lit(thresholds[c]) if thresholds.get(c, 0) > 0 else F.col(f"x{i}") == F.col(f"y{i}"))
     hit = real.join(syn, cond, "left_semi").agg(F.count(F.lit(1)).alias("n_hit"))

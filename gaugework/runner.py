@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators import columns, rows  # noqa: F401  (registers the built-in metrics)
 from .operators.rows import FairnessSpec, SubgroupSpec
@@ -14,6 +14,7 @@ from .plans.models import UtilityTask
 from .registry import Context, MetricRegistry, MetricResult, registry
 from .report import Report, RunInfo, now, reject_non_finite
 from .schema import GaugeError, Metadata, MetadataError, MetricError
+from .sources.tables import as_frame
 
 SUBGROUP = ("subgroup_fidelity", "minority_utility_gap", "minority_privacy_risk")
 
@@ -54,7 +55,10 @@ def check_options(options: dict[str, dict[str, Any]], known: MetricRegistry) ->
 
 
 def evaluate_with(known: MetricRegistry, real: DataFrame | None, synthetic: DataFrame, metadata: Metadata | None = None, *, preset: str | Preset | None = None, tiers: tuple[str, ...] | None = None, cs: tuple[str, ...] | None = None, holdout: DataFrame | None = None, distance: str | None = None, random_state: int = 42, run_utility: bool | None = None, run_fairness: bool | None = None, tasks: list[UtilityTask] | None = None, fairness_specs: list[FairnessSpec] | None = None, subgroup_specs: list[SubgroupSpec] | None = None, metric_options: dict[str, dict[str, Any]] | None = None, dp_ledger: dict[str, float] | None = None, data_type: str = "static") -> Report:
-    """Run the metrics of a registry. Explicit arguments win over the preset, the preset over the defaults."""
+    """Run the metrics of a registry. Explicit arguments win over the preset, the preset over the defaults.
+
+    Tables may be pandas ones; they become Spark's.
+    """
     if isinstance(preset, str) and preset not in PRESETS:
         raise GaugeError(f"unknown preset {preset!r}")
     p = PRESETS[preset] if isinstance(preset, str) else preset or Preset()
@@ -62,6 +66,8 @@ def evaluate_with(known: MetricRegistry, real: DataFrame | None, synthetic: Data
     for n, o in (metric_options or {}).items():
         options.setdefault(n, {}).update(o)
     check_options(options, known)
+    spark = SparkSession.builder.getOrCreate()
+    real, synthetic, holdout = (t if t is None else as_frame(spark, t) for t in (real, synthetic, holdout))
     for table, what in ((synthetic, "the synthetic table"), (holdout, "the holdout")):
         if table is not None and real is not None:
             check_columns(real, table, what)

@@ -176,6 +176,45 @@ def test_running_tvd(spark, tables):
     assert {x["column"]: x["tvd"] for x in r.table().collect()} == pytest.approx(want)
 
 
+def test_running_scores_survive_a_restart(tables, tmp_path):
+    state = f"file://{tmp_path}/state"
+    first = RunningTvd(tables["real"], ["sex"], state=state)
+    for epoch in range(4):
+        first.update(tables["good"], epoch)
+    again = RunningTvd(tables["real"], ["sex"], state=state)
+    assert again.done == 3 and again.table().first()["tvd"] == pytest.approx(first.table().first()["tvd"])
+    again.update(tables["bad"], 3)  # delivered before the restart
+    again.update(tables["bad"], 4)
+    assert again.counts.where("_side = 's'").groupBy().sum("n").first()[0] == 1500
+    assert sorted(int(p.name) for p in (tmp_path / "state").iterdir()) == [3, 4]
+
+
+def test_tables_may_be_pandas_ones(spark):
+    import pandas as pd
+
+    real = pd.DataFrame({"x": [1.0, 2.0, 3.0, 4.0], "k": ["a", "b", "a", "b"]})
+    r = g.evaluate(real, real, cs=("coverage",))
+    assert r.result("range_coverage").scalars["score"] == 1.0
+    with pytest.raises(g.MetricError):
+        df = spark.createDataFrame(real)
+        from gaugework.registry import Context
+
+        g.registry.get("tvd")(Context(df, df, g.Metadata.infer(df))).compute(spark.createDataFrame(real), df, g.Metadata.infer(df))
+
+
+def test_band_join_against_all_pairs(spark):
+    from gaugework.operators import tables as T
+
+    rng = np.random.default_rng(4)
+    rows = [(i, "rs"[i % 2], *[float(v) for v in np.round(rng.normal(0, 1, 3), 1)], str(rng.choice(["a", "b"]))) for i in range(400)]
+    df = spark.createDataFrame([*rows, (900, "r", None, 0.0, 0.0, "a")], "i long, _side string, x double, y double, z double, k string")
+    limits = {"x": 0.5, "y": 0.2, "z": 0.0}
+    got = T.hits(df, ["x", "y", "z"], ["k"], limits, "i").first()
+    near = lambda a, b: all(abs(a[2 + j] - b[2 + j]) <= t for j, t in enumerate(limits.values())) and a[5] == b[5]
+    want = sum(any(near(a, b) for b in rows if b[1] == "s") for a in rows if a[1] == "r")
+    assert (got["n_real"], got["n_hit"]) == (201, want)
+
+
 def test_subgroup_predicates(spark):
     df = spark.createDataFrame([(1, "m", True), (50, None, False), (None, "f", None)], "age int, sex string, flag boolean")
     count = lambda **c: df.where(g.SubgroupSpec("s", c).column()).count()
