@@ -187,14 +187,15 @@ def base_failed(least_words: int = 20, most_repeat_percent: int = 30) -> Column:
 
 
 def fit(stats: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, **options) -> list[list[Test]]:
-    """Learn from at most ``max_labelled`` rows of ``labels`` (doc_id, quality) joined to the statistics.
+    """Learn from at most ``max_labelled`` rows of ``labels`` (doc_id, quality) joined to the statistics, and as many pairs of them.
 
-    Rows that the base rules drop anyway teach nothing and are left out.
+    Both bounds take the rows with the least hash of their id, so an id of many rows does not reach the driver either. Rows that the base rules drop anyway teach nothing and are left out.
     """
     f = features()
     rows = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("_q"))
     rows = rows.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "_q").limit(max_labelled)
-    table = stats.where(~base_failed()).join(rows, "doc_id").select("doc_id", "_q", *[v.alias(k) for k, v in f.items()]).toPandas()
+    table = stats.where(~base_failed()).join(rows, "doc_id").select("doc_id", "_q", *[v.alias(k) for k, v in f.items()])
+    table = table.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "_q", *f).limit(max_labelled).toPandas()
     table = table.sort_values(["doc_id", "_q", *f]).reset_index(drop=True)
     return learn({k: table[k].to_numpy() for k in f}, (table["_q"] == 0).to_numpy(), **options)
 
