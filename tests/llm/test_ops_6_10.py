@@ -3,6 +3,7 @@ import random
 import re
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -285,5 +286,62 @@ def test_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(got) and got.length.max() <= 2048 and set(got.doc_id) <= {r[0] for r in docs.select("doc_id").collect()}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, "").columns == docs.columns, name
+
+
+def test_pipeline_stages_against_plain_code(spark, tmp_path):
+    """Every stage's rows, from its own input, by plain Python."""
+    import corpus_pipeline
+    from test_ops_1_5 import removal
+
+    rng = random.Random(8)
+    words = lambda n: [rng.choice("the of and house river cloud stone green seven under light paper".split()) + str(rng.randint(0, 999)) for _ in range(n)]
+    base, passage = words(120), " ".join(words(55))
+    near = [*base[:60], "changed", *base[61:]]
+    texts = [" ".join(base), " ".join(near), " ".join(words(40)), None, "", "12 34 !", passage + " " + " ".join(words(50)), " ".join(words(50)) + " " + passage]
+    texts += [" ".join(words(rng.randint(5, 90))) for _ in range(30)] + ["short one", "short one"]
+    docs = [(i, t, "en", "abc"[i % 3] if i % 11 else None, len(t or ""), i) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, _cut long").write.parquet(f"{tmp_path}/documents.parquet")
+    now, steps = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"{tmp_path}/{name}"
+        stage(spark, now, str(tmp_path)).write.parquet(path)
+        columns, now = now.columns, spark.read.parquet(path)
+        assert name == "packing" or now.columns == columns
+        steps[name] = now.collect()
+    text = lambda rows: {r["doc_id"]: r["text"] for r in rows}
+    first = text(steps["language_id"])
+    assert first == {i: t for i, t in enumerate(texts) if t and any(map(str.isalpha, t))}
+    sets, label = {i: shingle_set(t) for i, t in first.items()}, {i: i for i in first}
+    for i in sets:
+        for j in sets:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = {k: new if v == old else v for k, v in label.items()}
+    second = text(steps["near_duplicates"])
+    assert second == {i: first[i] for i in set(label.values())} and 1 not in second and 0 in second
+    third, ids = text(steps["repeated_passages"]), sorted(second)
+    want = {i: x[3] for i, x in zip(ids, removal([second[i] for i in ids], corpus_pipeline.PASSAGE), strict=True)}
+    assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in third.items()} == want
+    assert passage not in third[6] and passage not in third[7] and all(third[i] == second[i] for i in second if i not in (6, 7))
+    taken, source = Counter(), {i: docs[i][3] for i in third}
+    for r in steps["mixture"]:
+        taken[r["source"]] += len(r["text"].split())
+        n = len(r["text"].split())
+        assert third[r["doc_id"]].split()[:n] == r["text"].split() and r["_cut"] == r["doc_id"]
+    size = Counter()
+    for i, t in third.items():
+        size[source[i]] += len(t.split())
+    order, level = [*sorted(s for s in size if s is not None), *[s for s in size if s is None]], {}
+    weight, open_, left = {s: k % 3 + 1 for k, s in enumerate(order)}, set(order), sum(size.values())
+    while over := {s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 3 * size[s]}:
+        level |= {s: 3 * size[s] for s in over}
+        left, open_ = left - sum(3 * size[s] for s in over), open_ - over
+    level |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    assert all(abs(taken[s] - level[s]) <= 0.5 for s in order)
+    library, n = Tokenizer.from_file(tokens.public_path("word_bpe_49k.json")), Counter()
+    for r in steps["mixture"]:
+        n[r["doc_id"]] += len(library.encode(r["text"], add_special_tokens=False).ids) + 1
+    packed = Counter()
+    for r in steps["packing"]:
+        packed[r["doc_id"]] += r["length"]
+    assert packed == n
