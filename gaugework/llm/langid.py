@@ -191,17 +191,35 @@ def fit(docs: DataFrame, order: int = 3, **bounds) -> Model | None:
     return train(got, order) if got else None
 
 
-def accepted(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows whose language is recognised: not ``und`` and with a score of at least ``least_score``."""
+def limits(samples: dict[str, list[bytes]], order: int = 3, fold: int = 5, slack: float = 64.0) -> np.ndarray:
+    """Most bits a byte that text of each language may cost: what plain bytes cost, 8, or the worst of every ``fold``-th sample
+    under trees of the others (``slack`` bits spare short texts). No limit where there are fewer than ``fold`` samples."""
+    rest = train({g: [x for i, x in enumerate(t) if i % fold] for g, t in samples.items()}, order)
+    out = np.full(len(rest.langs), np.inf)
+    for g, name in enumerate(rest.langs):
+        held = samples[name][::fold]
+        if len(samples[name]) >= fold:
+            out[g] = max(8.0, ((code_lengths(rest, held)[:, g] - slack) / [len(x) for x in held]).max())
+    return out
+
+
+def accepted(docs: DataFrame, least_score: float = 0.5, slack: float = 64.0) -> DataFrame:
+    """The rows whose language is recognised: not ``und``, a score of at least ``least_score``, and a code length within the
+    language's ``limits``, which text in a language that was not learned exceeds."""
     spark = docs.sparkSession
     _scale.workers_can_import(spark)
-    frozen = spark.sparkContext.broadcast(fit(docs))  # at most max_model bytes
+    got = sample(docs)
+    model = train(got) if got else None
+    most = dict(zip(model.langs, limits(got, slack=slack), strict=True)) if model else {}
+    frozen = spark.sparkContext.broadcast((model, most))  # at most max_model bytes
 
     def run(batches):
+        model, most = frozen.value
         for batch, data in chunks(batches, "text"):
-            lang, score, _ = decide(frozen.value, data)
+            lang, score, bits = decide(model, data)
+            sizes = np.array([len(x) for x in data])
             ok = np.array([g != "und" for g in lang], bool) & (score >= least_score)
-            yield batch.filter(pa.array(ok))
+            yield batch.filter(pa.array(ok & (bits * sizes <= np.array([most.get(g, np.inf) for g in lang]) * np.maximum(1, sizes) + slack)))
 
     return _scale.map_arrow(docs, run, docs.schema)
 

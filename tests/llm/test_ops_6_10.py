@@ -237,6 +237,23 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.predict(frame(spark, ODD), None).collect()} == {"und"}
 
 
+def test_languages_that_were_not_learned_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    strange = {
+        -1: "Zażółć gęślą jaźń, a potem idź do domu, bo już późno i pada deszcz na ulicy. " * 4,
+        -2: "Быстрая коричневая лиса прыгает через ленивую собаку и бежит дальше по дороге. " * 4,
+        -3: "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(500)),
+        -4: "14",
+        -5: None,
+    }
+    rows = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(i, t, None) for i, t in strange.items()], "doc_id long, text string, lang string"))
+    got = {r[0] for r in langid.accepted(rows).select("doc_id").collect()}
+    lettered = docs.where("text is not null and text rlike '[a-zA-Z]'").select("doc_id")
+    assert not got & set(strange) and got == {r[0] for r in lettered.collect()}
+    assert np.isinf(langid.limits({"x": [b"too few", b"texts"]})).all()
+    assert langid.limits({"x": [b"the same text over and over again"] * 10})[0] == 8.0
+
+
 # ---- 10 --------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string, digest string"
