@@ -13,6 +13,7 @@ from .render import leaderboard_html, scorecard_html, to_pdf
 from .runner import PRESETS, evaluate
 from .schema import GaugeError
 from .sources.tables import read_metadata, read_table
+from .texts import about
 
 
 def metric_options(given: list[str]) -> dict[str, dict]:
@@ -59,7 +60,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
     if args.command == "metrics":
         for m in registry.metrics():
-            print(f"{m.spec.name}\t{m.spec.c}\t{m.spec.tier}")
+            print(f"{m.spec.name}\t{m.spec.c}\t{m.spec.tier}\t{about(m.spec.name)}")
         return 0
     try:
         if spark is None:

@@ -9,6 +9,7 @@ from .leaderboard import BenchmarkResult
 from .registry import MetricResult
 from .report import Report, is_scored, normalised_score
 from .schema import GaugeError
+from .texts import DIMENSION_TEXTS, about, reading
 
 STYLE = "body{font:14px sans-serif;margin:2em;max-width:70em}table{border-collapse:collapse;margin:.5em 0}td,th{border:1px solid #ccc;padding:.2em .6em;text-align:left}.Excellent{background:#d8f0d8}.Good{background:#eaf5d8}.Fair{background:#fbf3d0}.Poor{background:#f8dcd8}.note{color:#666}"
 
@@ -51,12 +52,13 @@ def metric_rows(r: MetricResult, mode: str) -> str:
     text = ", ".join(f"{escape(k)} {number(v)}" for k, v in shown.items()) or escape(r.error or r.skip_reason or "")
     grade = verdict(normalised_score(r)) if is_scored(r) else ""
     notes = "".join(f"<div class=note>{escape(n)}</div>" for n in r.notes)
+    hint = f"<div class=note>{escape(reading(r.spec.name))}</div>" if mode == "actual" else ""
     detail = ""
     if r.per_column:
         names = list(next(iter(r.per_column.values())))
         body = "".join(f"<tr><td>{escape(c)}</td>{''.join(f'<td>{number(v.get(n))}</td>' for n in names)}</tr>" for c, v in r.per_column.items())
         detail = f"<details><summary>by column</summary><table><tr><th>column</th>{''.join(f'<th>{escape(n)}</th>' for n in names)}</tr>{body}</table></details>"
-    return f'<tr class="{grade}"><td>{escape(r.spec.name)}</td><td>{text}</td><td>{grade}</td><td>{notes}{detail}{plot(r.plot_payload)}</td></tr>'
+    return f'<tr class="{grade}"><td>{escape(r.spec.name)}<div class=note>{escape(about(r.spec.name))}</div></td><td>{text}{hint}</td><td>{grade}</td><td>{notes}{detail}{plot(r.plot_payload)}</td></tr>'
 
 
 def scorecard_html(report: Report, mode: str = "normalized", fragment: bool = False, title: str = "Scorecard") -> str:
@@ -66,7 +68,7 @@ def scorecard_html(report: Report, mode: str = "normalized", fragment: bool = Fa
     a = report.aggregated
     parts.append("<table>" + "".join(f'<tr class="{verdict(clip(v))}"><td>{escape(c)}</td><td>{number(v)}</td><td>{verdict(clip(v))}</td></tr>' for c, v in a.items()) + "</table>")
     for c, results in report.by_c().items():
-        parts.append(f"<h2>{escape(c)}</h2><table><tr><th>metric</th><th>{'score' if mode == 'normalized' else 'values'}</th><th></th><th></th></tr>{''.join(metric_rows(r, mode) for r in results)}</table>")
+        parts.append(f"<h2>{escape(c)}</h2><p class=note>{escape(DIMENSION_TEXTS.get(c, ""))}</p><table><tr><th>metric</th><th>{'score' if mode == 'normalized' else 'values'}</th><th></th><th></th></tr>{''.join(metric_rows(r, mode) for r in results)}</table>")
     i = report.run_info
     parts.append(f"<footer class=note>seed {i.seed}, {escape(i.started_at)} to {escape(i.finished_at)}, {escape(', '.join(f'{k} {v}' for k, v in i.versions.items()))}</footer>")
     body = "\n".join(parts)
@@ -80,11 +82,11 @@ def leaderboard_html(result: BenchmarkResult, mode: str = "absolute", by: str =
         f"<tr><td>{i}</td><td>{escape(n)}</td><td>{number(v)}</td><td>{bars([by], [clip(v) if v == v and abs(v) != float('inf') else 0], [0])}</td>{''.join(f'<td>{number(cs[n].get(c))}</td>' for c in dims)}</tr>" for i, n, v in result.ranking(by, mode)
     )
     matrix = result.matrix(mode)
-    table = "".join(f"<tr><td>{escape(m)}</td>{''.join(f'<td>{number(matrix[n].get(m))}</td>' for n in result.reports)}</tr>" for m in result.metrics)
+    table = "".join(f"<tr><td title='{escape(about(m))}'>{escape(m)}</td>{''.join(f'<td>{number(matrix[n].get(m))}</td>' for n in result.reports)}</tr>" for m in result.metrics)
     cards = "".join(f"<details><summary>{escape(n)}</summary>{scorecard_html(r, fragment=True, title=n)}</details>" for n, r in result.reports.items())
     notes = "".join(f"<div class=note>{escape(x)}</div>" for x in result.notes)
     heads = "".join(f"<th>{escape(n)}</th>" for n in result.reports)
-    return f"<!doctype html><html><head><meta charset=utf-8><title>Leaderboard</title><style>{STYLE}</style></head><body><h1>Leaderboard</h1><table><tr><th></th><th>candidate</th><th>{escape(by)}</th><th></th>{''.join(f'<th>{escape(c)}</th>' for c in dims)}</tr>{rows}</table>{notes}<h2>Metrics</h2><table><tr><th></th>{heads}</tr>{table}</table>{cards}</body></html>"
+    return f"<!doctype html><html><head><meta charset=utf-8><title>Leaderboard</title><style>{STYLE}</style></head><body><h1>Leaderboard</h1><table><tr><th></th><th>candidate</th><th>{escape(by)}</th><th></th>{''.join(f'<th title="{escape(DIMENSION_TEXTS.get(c, ""))}">{escape(c)}</th>' for c in dims)}</tr>{rows}</table>{notes}<h2>Metrics</h2><table><tr><th></th>{heads}</tr>{table}</table>{cards}</body></html>"
 
 
 def to_pdf(html: str, path: str) -> None:
