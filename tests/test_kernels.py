@@ -82,6 +82,39 @@ def test_knn_leaves_the_row_itself_out(spark):
     assert got[0] == got[1] == 0 and got[2] > 0
 
 
+@pytest.mark.parametrize("gower", [False, True])
+def test_knn_over_parts_with_copies_ties_and_nulls(spark, gower):
+    """Many parts, a point of 300 copies, ties and nulls: distances, their counts and the least nearest id, also of a table to itself."""
+    rng = np.random.default_rng(8)
+    rows = [("rs"[i % 2], None if i % 9 == 0 else float(rng.integers(0, 12)), float(rng.normal()) if i % 3 else 2.0, "abcd"[int(rng.integers(0, 4))]) for i in range(700)]
+    rows += [("r", 3.0, 2.0, "a")] * 300
+    enc, space = (N.gower if gower else N.encode)(pair(spark, rows, "x double, y double, g string"), meta(x=NUM, y=NUM, g=CAT), "id")
+    e = enc.orderBy("_id").toPandas()
+    side = {s: e[e._side == s] for s in "rs"}
+    for a, b in (("s", "r"), ("r", "r")):
+        part = lambda x: {"_id": x._id.values, **{c: x[c].values.astype(float) for c in space.numeric}, **{c: x[c].values for c in space.categorical}}
+        d = N.distances(space, part(side[a]), part(side[b]), 0, len(side[a]))
+        if a == b:
+            np.fill_diagonal(d, np.inf)
+        got = {r["_id"]: r for r in N.knn(enc.where(F.col("_side") == a), enc.where(F.col("_side") == b), space, 4, exclude_self=a == b, block=40).collect()}
+        assert len(got) == len(d)
+        for i, line in zip(side[a]._id, d, strict=True):
+            assert got[i]["d"] == sorted(line)[:4]
+            assert got[i]["nn"] == side[b]._id.values[line.argmin()]
+
+
+def test_knn_takes_few_of_all_pairs(monkeypatch):
+    """The work of a part grows in proportion to its rows, and the result is that of all pairs."""
+    rng, space = np.random.default_rng(9), N.Space(("f0", "f1"), ("g0",))
+    of = lambda n: {"_id": np.arange(n), "_n": np.ones(n, np.int64), "f0": rng.normal(size=n), "f1": rng.normal(size=n), "g0": rng.integers(0, 5, n)}
+    a, b, pairs, plain = of(4000), of(8000), [], N.distances
+    monkeypatch.setattr(N, "distances", lambda s, x, y, lo, hi: pairs.append((hi - lo) * len(y["_id"])) or plain(s, x, y, lo, hi))
+    d, ids, _ = N._search(space, a, b, 3, np.full(4000, np.inf), False)
+    whole = plain(space, a, b, 0, 4000)
+    assert (d == np.sort(whole, axis=1)[:, :3]).all() and (ids[:, 0] == whole.argmin(axis=1)).all()
+    assert sum(pairs) < 4000 * 8000 / 4
+
+
 def test_gower_worked_example(spark):
     df = pair(spark, [("r", 0.0, "x"), ("r", 10.0, "y"), ("s", 10.0, "y"), ("s", 5.0, "x")], "num double, cat string")
     enc, space = N.gower(df, meta(num=NUM, cat=CAT), "id")
