@@ -171,3 +171,20 @@ def test_mmd_of_all_rows_against_brute_force(spark):
     assert mmd_of(enc, space, None, 42) == pytest.approx(want, abs=1e-9)
     assert mmd_of(enc, space, None, 42, block=300) == pytest.approx(want, abs=1e-9)
     assert mmd_of(enc, space, 500, 42) != pytest.approx(want, abs=1e-9)
+
+
+def test_mmd_compares_copies_once_with_their_weight(spark):
+    from gaugework.operators.columns import mmd_of
+
+    rng = np.random.default_rng(5)
+    base = [("rs"[i % 3 == 0], round(float(rng.normal()), 1), "ab"[i % 2]) for i in range(60)]
+    rows = [r for i, r in enumerate(base) for _ in range(1 + i % 7)]
+    enc, space = N.encode(pair(spark, rows, "x double, g string"), meta(x=NUM, g=CAT), "id")
+    points, sizes = N.pooled(enc, space)
+    assert points.count() == len({r[1:] for r in rows}) and sum(sizes.values()) == len(rows) == points.agg(F.sum("_n")).first()[0]
+    e = enc.toPandas()
+    d = np.sqrt((e.f0.values[:, None] - e.f0.values) ** 2 + 2.0 * (e.g0.values[:, None] != e.g0.values))
+    upper = d[np.triu_indices(len(d), 1)]
+    gamma = 1 / (2 * np.median(upper[upper > 0]) ** 2 + 1e-12)
+    w = np.where(e._side == "r", 1 / (e._side == "r").sum(), -1 / (e._side == "s").sum())
+    assert mmd_of(enc, space, None, 42, block=20) == pytest.approx(math.sqrt(w @ np.exp(-gamma * d * d) @ w), abs=1e-9)
