@@ -1,7 +1,8 @@
 """Near-duplicates by Jaccard likeness of 5-word shingles, for the pipeline.
 
-Candidates share one of 24 bands of five minima (two sets of likeness 0.8 share none with chance
-1 in 14 000); every candidate pair is then measured on the whole sets, so nothing is linked by
+Candidates agree under one of the covering masks of op8's SimHash fingerprints (no pair within its
+3 bits escapes) or share one of 24 bands of five minima (two sets of likeness 0.8 share none with
+chance 1 in 14 000); every candidate pair is then measured on the whole sets, so nothing is linked by
 chance. A bucket's members are linked in its task by a spanning forest, never by all pairs; a bucket
 with much text is cut into blocks, each pair of blocks being a bucket of its own.
 
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 
 from . import _graph, _scale
 from ._words import Words, chunks, mix, texts_of
-from .simhash import LOWER, body, id_and_text, rows_kept
+from .simhash import LOWER, body, id_and_text, masks, rows_kept, simhash
 
 K, LIKENESS, BANDS, ROWS = 5, 0.8, 24, 5
 U = np.uint64
 _SALT = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+MASKS = np.array(masks(), U)
+KEYS = BANDS + len(MASKS)
 XOR, FACTOR = _SALT[: BANDS * ROWS], _SALT[BANDS * ROWS :] | U(1)
 
 
@@ -51,8 +54,9 @@ def bands(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _prints(batches):
     for batch, data in chunks(batches, "text"):
         h, sizes = sets(data)
-        keys = bands(h, sizes).view(np.int64)
-        ends = np.cumsum(np.where(sizes > 0, BANDS, 0))
+        prints = simhash([x for x, n in zip(data, sizes, strict=True) if n])
+        keys = np.hstack([bands(h, sizes), prints[:, None] & MASKS]).view(np.int64)
+        ends = np.cumsum(np.where(sizes > 0, KEYS, 0))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(keys.ravel()))
         node = np.where(sizes > 0, batch.column("body").to_numpy(), 0)  # wordless texts are one node
         size = np.array([len(x) for x in data], np.int64)
@@ -60,7 +64,7 @@ def _prints(batches):
 
 
 def prints_of(docs: DataFrame) -> DataFrame:
-    """-> doc_id, body (hash of the text), node (body, 0 if wordless), size (bytes), keys (one a band)."""
+    """-> doc_id, body (hash of the text), node (body, 0 if wordless), size (bytes), keys (one a band, then the fingerprint under each mask)."""
     _scale.workers_can_import(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _scale.map_arrow(docs.select("doc_id", "text", body("text").alias("body")), _prints, f"doc_id {kind}, body long, node long, size long, keys array<long>")

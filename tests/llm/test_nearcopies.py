@@ -66,3 +66,21 @@ def test_blocks_link_what_whole_buckets_link(spark):
 def test_likeness_of_exactly_the_limit_counts():
     h = np.array([1, 2, 3, 4, 5, 1, 2, 3, 4, 1, 2, 3], np.uint64)
     assert nearcopies.alike(h, np.array([5, 4, 3])) == [(0, 1)]
+
+
+def test_texts_within_the_simhash_radius_are_candidates(spark):
+    """Every pair whose op8 fingerprints differ in at most 3 bits agrees under a covering mask, beside the bands of minima."""
+    from gaugework.llm import simhash
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(40):
+        t = rng.choice(words, 300).tolist()
+        rows += [(2 * i, " ".join(t), None), (2 * i + 1, " ".join([*t[:150], "other", *t[151:]]), None)]
+    docs = frame(spark, rows)
+    fp = simhash.simhash([t.encode() for _, t, _ in rows])
+    got = {r["doc_id"]: np.array(r["keys"], np.int64).view(np.uint64)[nearcopies.BANDS :] for r in nearcopies.prints_of(docs.select("doc_id", "text")).collect()}
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if bin(int(fp[i] ^ fp[j])).count("1") <= simhash.RADIUS]
+    assert close and all((got[i] == got[j]).any() for i, j in close)
+    assert len(got[0]) == 2 ** (simhash.RADIUS + 1) - 1
