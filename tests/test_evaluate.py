@@ -312,3 +312,25 @@ def test_panel_names_its_models_and_averages_ratios(tables, meta):
     assert {k for k in r.scalars if k.startswith("ratio_")} == {"ratio_linear", "ratio_random_forest", "ratio_hist_gbdt", "ratio_spread"}
     assert set(r.per_column) == {f"income/{m}" for m in ("linear", "random_forest", "hist_gbdt")}
     assert r.scalars["score"] == pytest.approx(np.mean([x["ratio"] for x in r.per_column.values()]))
+
+
+@pytest.mark.parametrize("classes", ["ab", "abc"])
+def test_models_on_rows_alike_score_as_on_all_rows(spark, monkeypatch, classes):
+    """Training on distinct rows with their counts: the same linear model, forests and boosted trees as good."""
+    from gaugework.plans import models as M
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(3000):
+        x, k = int(rng.integers(0, 8)), "uv"[int(rng.integers(0, 2))]
+        rows.append((float(x), k, classes[min(len(classes) - 1, int(x + 2 * (k == "u") + rng.normal(0, 2) > 4) + int(x > 6))]))
+    df = spark.createDataFrame(rows, "x double, k string, y string")
+    meta, task, names = g.Metadata.infer(df), g.UtilityTask("y", "classification"), ("linear", "forest", "boosted")
+    got = {}
+    for most in (0, 100):
+        monkeypatch.setattr(M, "COMPACT", most)
+        got[most] = M.fit_and_score(df, df, task, meta, names, 1, list(classes))
+    few = M.compacted(df.withColumn("_y", M.class_index("y", list(classes))), ["x", "k"])
+    assert few.count() <= 48 and few.agg({"_w": "sum"}).first()[0] == 3000
+    assert got[100]["linear"] == pytest.approx(got[0]["linear"], abs=1e-3)
+    assert all(got[100][n] == pytest.approx(got[0][n], abs=0.02) for n in names) and got[0]["forest"] > 0.6
