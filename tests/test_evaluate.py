@@ -334,3 +334,27 @@ def test_models_on_rows_alike_score_as_on_all_rows(spark, monkeypatch, classes):
     assert few.count() <= 48 and few.agg({"_w": "sum"}).first()[0] == 3000
     assert got[100]["linear"] == pytest.approx(got[0]["linear"], abs=1e-3)
     assert all(got[100][n] == pytest.approx(got[0][n], abs=0.02) for n in names) and got[0]["forest"] > 0.6
+
+
+def test_pmse_fits_permutations_side_by_side(tables, meta, monkeypatch):
+    """Several at a time, each of its own seed, and averaged as they are one by one."""
+    import threading
+    import time
+
+    from gaugework.plans import models as M
+
+    running, most, lock, seeds = [0], [0], threading.Lock(), []
+
+    def slow(data, share, n):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.2)
+        with lock:
+            running[0] -= 1
+        return 0.01 if data != "permuted" else 0.02
+
+    monkeypatch.setattr(M, "propensity_mse", slow)
+    monkeypatch.setattr(M, "permuted", lambda data, seed, ones, n: seeds.append(seed) or "permuted")
+    r = g.registry.get("pmse")(n_permutations=6).compute(tables["real"], tables["good"], meta)
+    assert most[0] > 1 and sorted(seeds) == [42 + i for i in range(6)] and r.scalars["pmse_null"] == pytest.approx(0.02)
