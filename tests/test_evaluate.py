@@ -358,3 +358,72 @@ def test_pmse_fits_permutations_side_by_side(tables, meta, monkeypatch):
     monkeypatch.setattr(M, "permuted", lambda data, seed, ones, n: seeds.append(seed) or "permuted")
     r = g.registry.get("pmse")(n_permutations=6).compute(tables["real"], tables["good"], meta)
     assert most[0] > 1 and sorted(seeds) == [42 + i for i in range(6)] and r.scalars["pmse_null"] == pytest.approx(0.02)
+
+
+def test_pmse_fits_all_labels_in_the_same_passes(spark, monkeypatch):
+    """Tables of many rows: a few passes in place of 21 fits, the same values; the true share of each label is met."""
+    from gaugework.plans import models as M
+
+    real, other = people(spark, 1500, 1).cache(), people(spark, 1200, 2, 3).cache()
+    pmse = lambda: g.registry.get("pmse")(n_permutations=4).compute(real, other, g.Metadata.infer(real)).scalars
+    with monkeypatch.context() as m:
+        m.setattr(M, "MANY", 10**9)
+        one_by_one = pmse()
+    passes, own = [], M._newton_sums
+    monkeypatch.setattr(M, "logistic", None)
+    monkeypatch.setattr(M, "_newton_sums", lambda *a: passes.append(len(a[1])) or own(*a))
+    got = pmse()
+    assert passes[0] == 5 and len(passes) <= 8
+    assert got["pmse"] == pytest.approx(one_by_one["pmse"], rel=1e-3) and got["pmse_null"] == pytest.approx(one_by_one["pmse_null"], rel=1e-2)
+    assert got["score"] == pytest.approx(one_by_one["score"], abs=1e-5)
+
+
+def test_newton_sums_of_sparse_dense_and_constant_features(spark):
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql import functions as F
+
+    from gaugework.plans import models as M
+
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.normal(size=90), rng.integers(0, 2, 90), np.full(90, 4.0)])
+    x[::5] = [0, 0, 4]
+    y = rng.integers(0, 2, 90).astype(float)
+    rows = [(float(b), Vectors.dense(v) if i % 2 else Vectors.sparse(3, [(j, e) for j, e in enumerate(v) if e])) for i, (v, b) in enumerate(zip(x, y, strict=True))]
+    data = spark.createDataFrame(rows, ["y", "features"]).repartition(3)
+    mean, sd = x.mean(axis=0), x.std(axis=0, ddof=1)
+    sd[2] = 0
+    at = rng.normal(size=(2, 4))
+    got = M._newton_sums(data, [F.col("y") > 0, F.col("y") == 0], at, 0.3, mean, sd)
+    z = np.column_stack([(x[:, 0] - mean[0]) / sd[0], (x[:, 1] - mean[1]) / sd[1], np.zeros(90), np.ones(90)])
+    for (loss, gap, slope, curve), b, t in zip(got, at, (y, 1 - y), strict=True):
+        p = 1 / (1 + np.exp(-z @ b))
+        assert loss == pytest.approx(-(t * np.log(p) + (1 - t) * np.log(1 - p)).sum()) and gap == pytest.approx(((p - 0.3) ** 2).sum())
+        assert slope == pytest.approx(z.T @ (p - t)) and curve == pytest.approx((z * (p * (1 - p))[:, None]).T @ z)
+
+
+def test_labels_are_dealt_by_exact_ranks(spark):
+    from pyspark.sql import functions as F
+
+    from gaugework.plans import models as M
+
+    n, hashes = 5000, [F.shiftright(F.xxhash64(F.lit(s), "id"), 11) for s in (1, 2)] + [F.col("id")]  # the last is not spread evenly
+    for ones in (1, 1777, 4999):
+        cuts = M._cuts(spark.range(n), hashes, ones, n)
+        assert [spark.range(n).where(h <= c).count() for h, c in zip(hashes, cuts, strict=True)] == [ones] * 3
+
+
+def test_the_scorecard_searches_the_real_table_once(spark, tables, meta, monkeypatch):
+    """dcr and nndr take one search of the synthetic and the holdout rows together, and its values are those of single ones."""
+    from gaugework.plans import neighbors as N
+    from gaugework.registry import Context
+
+    asked, own, holdout = [], N.knn, people(spark, 100, 9)
+    monkeypatch.setattr(N, "knn", lambda *a, **k: asked.append(a[3]) or own(*a, **k))
+    r = g.evaluate_with(g.registry.subset(["dcr", "nndr"]), tables["real"], tables["good"], meta, holdout=holdout)
+    assert asked == [2] and not [x.error for x in r.results if x.error]
+    ctx = Context(tables["real"], tables["good"], meta, holdout=holdout)
+    rows, space = ctx.shared
+    side = {s: rows.where(rows["_side"] == s) for s in "rsh"}
+    for a, b, k in (("s", "r", 1), ("h", "r", 2), ("r", "r", 1), ("r", "s", 2), ("r", "r", 3)):
+        want = {x["_id"]: (x["d"], x["nn"]) for x in own(side[a], side[b], space, k, exclude_self=a == b).collect()}
+        assert {x["_id"]: (x["d"], x["nn"]) for x in ctx.near(a, b, k).collect()} == want

@@ -188,3 +188,21 @@ def test_mmd_compares_copies_once_with_their_weight(spark):
     gamma = 1 / (2 * np.median(upper[upper > 0]) ** 2 + 1e-12)
     w = np.where(e._side == "r", 1 / (e._side == "r").sum(), -1 / (e._side == "s").sum())
     assert mmd_of(enc, space, None, 42, block=20) == pytest.approx(math.sqrt(w @ np.exp(-gamma * d * d) @ w), abs=1e-9)
+
+
+def test_a_sweep_sends_only_its_cuts_to_all_tasks(spark):
+    long = K.numeric_long(pair(spark, [("rs"[i % 2], float(i)) for i in range(500)], "x double"), ["x"])
+    for d in (K.ks_w1(long), K.both_quantiles(long, [0.1, 0.5]), K.quantiles(long, [0.5], "s")):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
+
+
+def test_quantiles_of_both_sides_against_numpy(spark):
+    rng, probs = np.random.default_rng(3), [0.0, *T.GRID, 1.0]
+    x, y = rng.integers(0, 40, 300).astype(float), rng.normal(size=211)
+    df = pair(spark, [("r", float(v), None) for v in x] + [("s", float(v), float(v)) for v in y] + [("h", 99.0, 1.0)], "x double, y double")
+    got = {r["column"]: r for r in K.both_quantiles(K.numeric_long(df.where("_side <> 'h'"), ["x", "y"]), probs).collect()}
+    assert got["x"]["q_r"] == pytest.approx(np.quantile(x, probs).tolist()) and got["x"]["q_s"] == pytest.approx(np.quantile(y, probs).tolist())
+    assert got["y"]["q_r"] is None and got["y"]["q_s"] == pytest.approx(np.quantile(y, probs).tolist())
+    one = K.both_quantiles(K.numeric_long(pair(spark, [("r", 5.0), ("s", 7.0)], "x double"), ["x"]), probs).first()
+    assert one["q_r"] == [5.0] * len(probs) and one["q_s"] == [7.0] * len(probs)
