@@ -190,6 +190,52 @@ def test_mmd_compares_copies_once_with_their_weight(spark):
     assert mmd_of(enc, space, None, 42, block=20) == pytest.approx(math.sqrt(w @ np.exp(-gamma * d * d) @ w), abs=1e-9)
 
 
+def test_mmd_of_one_number_and_labels_visits_no_pairs(spark, monkeypatch):
+    from gaugework.operators.columns import mmd_of
+
+    rng = np.random.default_rng(6)
+    rows = [("r" if i % 2 else "s", float(rng.normal(0.4 * (i % 2))), "abc"[i % 3], "xy"[i % 5 % 2]) for i in range(901)]
+    enc, space = N.encode(pair(spark, rows, "x double, g string, h string"), meta(x=NUM, g=CAT, h=CAT), "id")
+    e = enc.toPandas()
+    d = np.sqrt((e.f0.values[:, None] - e.f0.values) ** 2 + 2.0 * (e.g0.values[:, None] != e.g0.values) + 2.0 * (e.g1.values[:, None] != e.g1.values))
+    upper = d[np.triu_indices(len(d), 1)]
+    gamma = 1 / (2 * np.median(upper[upper > 0]) ** 2 + 1e-12)
+    w = np.where(e._side == "r", 1 / (e._side == "r").sum(), -1 / (e._side == "s").sum())
+
+    def grid(*_):
+        raise AssertionError("pairs of rows are visited")
+
+    monkeypatch.setattr(N, "_grid", grid)
+    assert mmd_of(enc, space, None, 42, block=300) == pytest.approx(math.sqrt(w @ np.exp(-gamma * d * d) @ w), abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["labels", "copies", "tail", "no number", "even", "wrong guess"])
+def test_sums_along_lines_are_those_of_all_pairs(spark, monkeypatch, kind):
+    from gaugework.plans import line as L
+
+    rng, side = np.random.default_rng(7), ["r", "s", "s"]
+    schema, m, block = "x double, g string, h string", meta(x=NUM, g=CAT, h=CAT), 40
+    rows = [(side[i % 3], float(rng.exponential()), "abcd"[i % 4], "abc"[i % 7 % 3]) for i in range(400)]
+    if kind == "copies":
+        rows = [(s, round(x, 1), g, h) for s, x, g, h in rows]
+    if kind in ("tail", "even"):
+        schema, m, block = "x double", meta(x=NUM), 16
+        rows = [(side[i % 3], float(np.exp(4 * rng.normal()))) for i in range(300)] if kind == "tail" else [("r", 1.0), ("s", 2.0), ("s", 5.0), ("r", 9.0)]
+    if kind == "no number":
+        schema, m, block = "g string, h string", meta(g=CAT, h=CAT), 4
+        rows = [(s, g, h) for s, _, g, h in rows]
+    if kind == "wrong guess":
+        monkeypatch.setattr(L, "_guess", lambda *_: (0.25, 0.5))
+    enc, space = N.encode(pair(spark, rows, schema), m, "id")
+    pool = N.pooled(enc, space)[0].cache()
+    n = pool.count()
+    assert L.on_a_line(pool, space)
+    want = N.pooled_median(pool, space, n, 4096)
+    assert L.median(pool, space, n, block) == want
+    gamma = 1 / (2 * want * want + 1e-12)
+    assert L.kernel_sum(pool, space, gamma) == pytest.approx(N.kernel_sum(pool, space, n, gamma, 4096), abs=1e-13)
+
+
 def test_a_sweep_sends_only_its_cuts_to_all_tasks(spark):
     long = K.numeric_long(pair(spark, [("rs"[i % 2], float(i)) for i in range(500)], "x double"), ["x"])
     for d in (K.ks_w1(long), K.both_quantiles(long, [0.1, 0.5]), K.quantiles(long, [0.5], "s")):
